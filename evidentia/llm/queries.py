@@ -16,6 +16,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import lm
+    from evidentia.llm.runtime import fold
+
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_documents(docs, lm.count_model(docs, fold("doc_id", 7) != 2))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import langid
     from evidentia.llm.runtime import fold
@@ -69,5 +77,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op6_language_id": op6_language_id, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {"op3_sharding": op3_sharding, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op8_chat": OP8_SQL}
