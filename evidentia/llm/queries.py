@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import omh
+
+    return omh.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import sharding
 
@@ -77,5 +83,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_sharding": op3_sharding, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op8_chat": OP8_SQL}
