@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm import decontaminate
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.sample(docs, fold("doc_id", 4) != 2))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import chat
 
@@ -83,5 +89,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_sharding": op3_sharding, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op8_chat": OP8_SQL}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_sharding": op3_sharding, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_chat": OP8_SQL}
