@@ -18,12 +18,25 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import sharding
 
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no recordings: each vector of `embeddings` is rendered as one, and all are fingerprinted and aligned."""
+    from evidentia.llm import chroma
+
+    return chroma.classes(chroma.rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "media")
+
+
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import lm
     from evidentia.llm.runtime import fold
@@ -89,5 +102,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op3_sharding": op3_sharding, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_html_text": op2_html_text, "op3_sharding": op3_sharding, "op4_chroma": op4_chroma, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_chat": OP8_SQL}
