@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from evidentia.operators import evidence, near_miss
 from evidentia.operators.identity import Brands
 from evidentia.runtime import cut
-from evidentia.sources.corpus import Corpus, load
+from evidentia.sources.corpus import Corpus, load, load_tables
 
 MOST_QUERIES, MOST_NEAR_MISS = 12, 3
 
@@ -76,7 +76,15 @@ def journal(evaluations: DataFrame) -> DataFrame:
 
 def replay_folders(spark: SparkSession, folders: list[str], brands: Brands = Brands()) -> Replay:
     """Replays corpora on disk; a corpus that isn't sound is refused."""
-    corpus = load(spark, folders)
+    return checked_replay(load(spark, folders), brands)
+
+
+def replay_tables(spark: SparkSession, corpora: dict[str, dict[str, str]], brands: Brands = Brands()) -> Replay:
+    """Replays corpora given as JSON texts."""
+    return checked_replay(load_tables(spark, corpora), brands)
+
+
+def checked_replay(corpus: Corpus, brands: Brands) -> Replay:
     if bad := corpus.problems.collect():
         raise ValueError("; ".join(f"{r['mission_id']}: {r['problem']}" for r in bad))
     return replay(corpus, brands)

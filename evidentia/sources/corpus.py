@@ -22,20 +22,34 @@ class Corpus:
     problems: DataFrame  # mission_id, problem: empty for a sound corpus
 
 
-def read_json(spark: SparkSession, folders: list[str], name: str, schema: str) -> DataFrame:
-    """A file of each folder; a folder is a mission, named by its last part. Broken JSON fails the read."""
-    paths = [f"{f.rstrip('/')}/{name}" for f in folders]
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-    return rows.withColumn("mission_id", F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)/[^/]+$", 1))
+FILES = ("requirements", "audits", "pages", "manifest")
 
 
 def load(spark: SparkSession, folders: list[str]) -> Corpus:
-    req = read_json(spark, folders, "requirements.json", schemas.REQUIREMENTS_JSON)
-    man = read_json(spark, folders, "manifest.json", schemas.MANIFEST_JSON)
-    texts = spark.read.text([f"{f.rstrip('/')}/audits.json" for f in folders], wholetext=True).withColumn("mission_id", F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)/[^/]+$", 1))
-    audits = texts.select("mission_id", F.from_json("value", f"array<struct<page_url:string,candidates:array<{schemas.CANDIDATE}>>>", {"mode": "FAILFAST"}).alias("audits"))
-    page_texts = spark.read.text([f"{f.rstrip('/')}/pages.json" for f in folders], wholetext=True).withColumn("mission_id", F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)/[^/]+$", 1))
-    pages = page_texts.select("mission_id", F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("url", "content"))
+    """Corpora of folders; a folder is a mission, named by its last part. Broken JSON fails the read."""
+
+    def texts(name: str) -> DataFrame:
+        rows = spark.read.text([f"{f.rstrip('/')}/{name}.json" for f in folders], wholetext=True)
+        return rows.select(F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)/[^/]+$", 1).alias("mission_id"), "value")
+
+    return parse({name: texts(name) for name in FILES})
+
+
+def load_tables(spark: SparkSession, corpora: dict[str, dict[str, str]]) -> Corpus:
+    """Corpora given as JSON texts by mission and file name."""
+    return parse({name: spark.createDataFrame([(m, files[name]) for m, files in corpora.items()], "mission_id string, value string") for name in FILES})
+
+
+def parse(texts: dict[str, DataFrame]) -> Corpus:
+    """`texts`: by file name a table of mission_id and value."""
+
+    def rows(name: str, schema: str) -> DataFrame:
+        return texts[name].select("mission_id", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v"))
+
+    req = rows("requirements", f"struct<{typed(schemas.REQUIREMENTS_JSON)}>").select("mission_id", "v.*")
+    man = rows("manifest", f"struct<{typed(schemas.MANIFEST_JSON)}>").select("mission_id", "v.*")
+    audits = rows("audits", f"array<struct<page_url:string,candidates:array<{schemas.CANDIDATE}>>>").withColumnRenamed("v", "audits")
+    pages = rows("pages", "map<string,string>").select("mission_id", F.explode("v").alias("url", "content"))
 
     missions = req.select("mission_id", "product", F.coalesce("origin_brand", F.lit("")).alias("origin_brand")).join(man.select("mission_id", "target_brand", "threshold", F.col("strict_evidence").alias("strict")), "mission_id")
     requirements = req.select("mission_id", F.posexplode("criteria").alias("ord", "c")).select("mission_id", "ord", F.col("c.id").alias("requirement_id"), "c.label", "c.requested_value", F.coalesce("c.critical", F.lit(True)).alias("critical"))
@@ -51,6 +65,13 @@ def load(spark: SparkSession, folders: list[str]) -> Corpus:
     return Corpus(missions, requirements, criteria, remarks, pages.join(page_waves, ["mission_id", "url"], "left"), waves, problems(man, audits, one, pages, page_waves, requirements, criteria, waves))
 
 
+def typed(columns: str) -> str:
+    """Columns of a table schema as fields of a struct."""
+    import re
+
+    return ",".join(re.sub(r"^(\w+) ", r"\1:", part.strip()) for part in re.split(r",\s(?=\w+ )", columns))
+
+
 def problems(man: DataFrame, audits: DataFrame, one: DataFrame, pages: DataFrame, page_waves: DataFrame, requirements: DataFrame, criteria: DataFrame, waves: DataFrame) -> DataFrame:
     """What is wrong with corpora: mission_id, problem."""
     say = lambda df, what: df.select("mission_id", F.lit(what).alias("problem"))

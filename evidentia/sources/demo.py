@@ -59,3 +59,14 @@ def write(folder: str | Path) -> str:
     for name, value in (("requirements", REQUIREMENTS), ("audits", AUDITS), ("pages", PAGES), ("manifest", manifest())):
         (folder / f"{name}.json").write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
     return str(folder)
+
+
+def tables() -> dict[str, str]:
+    """The four files' contents by name."""
+    return {name: json.dumps(value, ensure_ascii=False) for name, value in (("requirements", REQUIREMENTS), ("audits", AUDITS), ("pages", PAGES), ("manifest", manifest()))}
+
+
+def brands():
+    from evidentia.operators.identity import Brands
+
+    return Brands({frozenset([b]): frozenset(d) for b, d in BRANDS["domaines_officiels"].items()})
