@@ -84,7 +84,7 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """All languages' automata in one table: entry [state, code] is twice the next state, plus 1 where a phrase ends."""
+    """All languages' automata in one table: entry [state, code] is four times the next state, plus the phrases that end."""
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in texts]
@@ -99,8 +99,9 @@ class CrossParser:
             table = np.full((len(step), self.width), -1, np.int64)
             for state, row in enumerate(step):
                 table[state, list(row)] = list(row.values())
-            again = np.where(table[0] < 0, 0, table[0])  # a letter that the sample lacks is a phrase of its own
-            table = np.where(table < 0, 2 * (base + again) + 1, 2 * (base + table))
+            again, lacks = np.maximum(table[0], 0), table[0] < 0  # a letter that the sample lacks is a phrase of its own
+            ended = 1 + (lacks & (np.arange(len(step)) > 0)[:, None])
+            table = np.where(table < 0, 4 * (base + again) + ended, 4 * (base + table))
             self.roots.append(base)
             parts.append(table)
             base += len(step)
@@ -127,8 +128,8 @@ class CrossParser:
         table, width = self.table, self.width
         for t, k in enumerate(active.tolist()):
             moved = table[state[:k] * width + flat[at[:k] + t][:, None]]
-            phrases[:k] += moved & 1
-            state[:k] = moved >> 1
+            phrases[:k] += moved & 3
+            state[:k] = moved >> 2
         bits = np.empty(phrases.shape)
         bits[order] = (phrases + 1) * self.bits / ordered[:, None]
         return bits, size > 1
