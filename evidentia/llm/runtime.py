@@ -37,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_few(df: DataFrame) -> DataFrame:
+    """cut() for rows that are few for their partitions: four tasks a core at most, so not a file for each empty one."""
+    return cut(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows (counted here), else as it is. Give it materialised rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
