@@ -216,3 +216,49 @@ def replay_demo(spark: SparkSession, d: str) -> DataFrame:
     from evidentia.sources import demo
 
     return replay_tables(spark, {"demo": demo.tables()}, demo.brands()).results
+
+
+@query("""WITH d AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 + 400000000000 AS VARCHAR), 13, '0') AS ean FROM part),
+s AS (SELECT p_partkey, ean, list_sum(list_transform(range(1, 14), lambda i: CAST(substr(ean, i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) AS w FROM d)
+SELECT p_partkey, ean, w % 10 = 0 AS valid FROM s""")
+def ean_checks(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.functions import kernels as k
+
+    p = t(spark, d, "part").select("p_partkey", F.lpad((F.col("p_partkey") * 7919 + 400000000000).cast("string"), 13, "0").alias("ean"))
+    return p.withColumn("valid", k.udf(k.valid_ean, "boolean")("ean"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity BETWEEN 10 AND 10 + l_linenumber * 5 END AS fits FROM lineitem WHERE l_linestatus = 'O'""")
+def quantity_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Requested points against observed ranges; every third observation is in another unit, so nothing can be told."""
+    from evidentia.functions import kernels as k
+    from evidentia.functions import quantity
+
+    rows = t(spark, d, "lineitem").filter("l_linestatus = 'O'").select("l_orderkey", "l_linenumber", F.format_string("%d V", F.col("l_quantity").cast("int")).alias("requested"), F.when(F.col("l_linenumber") % 3 == 0, "10 - 20 A").otherwise(F.format_string("from 10 - %d V", 10 + F.col("l_linenumber") * 5)).alias("observed"))
+    return rows.select("l_orderkey", "l_linenumber", k.udf(quantity.within, "boolean")("requested", "observed").alias("fits"))
+
+
+@query("""SELECT p_brand, count(*) AS n, CAST(sum(CASE WHEN p_size >= 25 THEN 1 ELSE 0 END) AS BIGINT) AS near, min(p_partkey) AS first_part FROM part GROUP BY p_brand""")
+def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") >= 25).alias("near"), F.min("p_partkey").alias("first_part"))
+
+
+@query()
+def query_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Three deterministic queries for each part as a mission, from two requirements."""
+    from evidentia.operators import planning
+
+    none = F.array().cast("array<string>")
+    m = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mission_id"), F.col("p_name").alias("product"), F.lit("").alias("origin_brand"), F.lit("").alias("target_brand"), none.alias("missing"), none.alias("previous"), F.lit(None).cast("array<string>").alias("planned"))
+    r = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mission_id"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("size").alias("requirement_id"), F.lit("Size").alias("label"), F.format_string("%d mm", "p_size").alias("requested_value"), F.lit(True).alias("critical")), F.struct(F.lit(1).alias("ord"), F.lit("kind").alias("requirement_id"), F.lit("Type").alias("label"), F.col("p_type").alias("requested_value"), F.lit(False).alias("critical")))).alias("r")).select("mission_id", "r.*")
+    return planning.plan(m, r)
+
+
+@query()
+def coverage_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Specifications of documents, as datasheets, that an empty list of requirements leaves uncovered."""
+    from evidentia.operators import coverage
+
+    sheets = t(spark, d, "documents").filter(F.col("text").rlike(r"\d")).select(F.col("doc_id").cast("string").alias("mission_id"), F.lit("").alias("product"), F.col("text").alias("sheet"))
+    r = sheets.select("mission_id", F.lit("Sealing").alias("label"), F.lit("none").alias("requested_value"))
+    return coverage.orphans(sheets, r).select("mission_id", "value", "reason")
