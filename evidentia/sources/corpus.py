@@ -96,3 +96,30 @@ def problems(man: DataFrame, audits: DataFrame, one: DataFrame, pages: DataFrame
     for p in parts[1:]:
         out = out.union(p)
     return out.distinct()
+
+
+def write(corpus: Corpus, manifests: DataFrame, path: str) -> None:
+    """Captures missions as tables of JSON texts below `path` (which must not exist): one row a mission for each of the
+    four files, as load_tables() takes them. `manifests`: mission_id and the manifest's fields."""
+    criterion = F.struct("ord", F.struct("requirement_id", "requested_value", "observed_value", "status", "proofs").alias("c"))
+    people = corpus.criteria.groupBy("mission_id", "audit_ord", "candidate_id", "page_url", "brand", "reference").agg(F.transform(F.array_sort(F.collect_list(criterion)), lambda x: x["c"]).alias("criteria"))
+    said = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "text")))), lambda x: x["text"])
+    remarks = corpus.remarks.groupBy("mission_id", "candidate_id").agg(said("deviation").alias("deviations"), said("limitation").alias("limitations"))
+    none = F.array().cast("array<string>")
+    people = people.join(remarks, ["mission_id", "candidate_id"], "left").withColumn("deviations", F.coalesce("deviations", none)).withColumn("limitations", F.coalesce("limitations", none))
+    one = people.groupBy("mission_id", "audit_ord", "page_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", F.struct("brand", "reference", "criteria", "deviations", "limitations").alias("c")))), lambda x: x["c"]).alias("candidates"))
+    audits = one.groupBy("mission_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("audit_ord", "page_url", "candidates"))), lambda x: F.struct(x["page_url"].alias("page_url"), x["candidates"].alias("candidates")))).alias("value"))
+    asked = corpus.requirements.groupBy("mission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "requirement_id", "label", "requested_value", "critical"))), lambda x: F.struct(x["requirement_id"].alias("id"), x["label"].alias("label"), x["requested_value"].alias("requested_value"), x["critical"].alias("critical"))).alias("criteria"))
+    texts = {
+        "requirements": corpus.missions.join(asked, "mission_id").select("mission_id", F.to_json(F.struct("product", "origin_brand", "criteria")).alias("value")),
+        "audits": audits,
+        "pages": corpus.pages.groupBy("mission_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("url", "content")))).alias("value")),
+        "manifest": manifests.select("mission_id", F.to_json(F.struct(*[c for c in manifests.columns if c != "mission_id"])).alias("value")),
+    }
+    for name, rows in texts.items():
+        rows.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def read_captured(spark: SparkSession, path: str) -> Corpus:
+    """Corpora that write() has captured."""
+    return parse({name: spark.read.parquet(f"{path}/{name}") for name in FILES})

@@ -52,3 +52,28 @@ def test_unsound_corpora_are_refused(spark, tmp_path, change, problem):
     (tmp_path / "bad" / "manifest.json").write_text(json.dumps(made))
     with pytest.raises(ValueError, match=problem):
         replay_folders(spark, [folder])
+
+
+def test_capture_reads_back_the_same(spark, tmp_path):
+    first = corpus.load(spark, [demo.write(tmp_path / "m1")])
+    manifests = corpus.parse({n: spark.createDataFrame([("m1", v)], "mission_id string, value string") for n, v in demo.tables().items()})
+    made = spark.createDataFrame([("m1", json.dumps(demo.manifest()))], "mission_id string, value string")
+    from pyspark.sql import functions as F
+
+    from evidentia import schemas
+
+    corpus.write(first, made.select("mission_id", F.from_json("value", schemas.MANIFEST_JSON).alias("v")).select("mission_id", "v.*"), str(tmp_path / "captured"))
+    again = corpus.read_captured(spark, str(tmp_path / "captured"))
+    for name in ("missions", "requirements", "criteria", "remarks", "pages", "waves"):
+        key = lambda c: sorted(map(str, getattr(c, name).collect()))  # noqa: B023, E731
+        assert key(again) == key(first) == key(manifests), name
+    assert again.problems.count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from evidentia.__main__ import main
+
+    brands = tmp_path / "brands.json"
+    brands.write_text(json.dumps(demo.BRANDS))
+    assert main(["--corpus", demo.write(tmp_path / "m9"), "--brands", str(brands), "--output", str(tmp_path / "out")]) == 0
+    assert json.loads((tmp_path / "out" / "m9.json").read_text())["status"] == "complete" and "Amaro" in (tmp_path / "out" / "m9.md").read_text()
