@@ -25,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from evidentia.llm.runtime import lean
+
 #: White-space separated chunks whose encodings a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Neighbour checks that a worker keeps.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -176,6 +178,11 @@ class WordBPE:
         for chunks in split:
             yield b"".join(map(get, chunks))
 
+    def forget(self) -> None:
+        """Drops what was kept of words, which a worker's later stages have no use for; the vocabulary stays."""
+        self.chunks.clear()
+        self.words.clear()
+
     def decode(self, ids: bytes) -> str:
         """The tokens joined by a space, as the library does for a file without a decoder; special tokens stay."""
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -207,8 +214,9 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = False) -> D
                     out += [pa.array([np.frombuffer(r[4], "<u4").astype("i4") for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows])]
                 yield pa.RecordBatch.from_arrays(out, names=names)
                 start = stop
+        bpe.forget()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     names = [part.split()[0] for part in schema.split(", ")]
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

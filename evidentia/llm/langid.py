@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.runtime import fold
+from evidentia.llm.runtime import fold, lean
 
 #: The training sample's bounds, which hold on any corpus: documents asked for per language, characters taken from each,
 #: characters per language, and characters of all languages together.
@@ -152,7 +152,7 @@ def parser(texts: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(texts)
 
 
-def predict_whole(parsed: CrossParser, texts: list[str], chunk: int = 4_000_000) -> list[tuple[str, float]]:
+def predict_whole(parsed: CrossParser, texts: list[str], chunk: int = 2_000_000) -> list[tuple[str, float]]:
     """As predict(), at most about `chunk` characters at once."""
     out, part, size = [], [], 0
     for t in texts:
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), docs["text"])
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, texts: dict[str, str], least: float = 0.0) -> DataFrame:
@@ -186,4 +186,4 @@ def accept(docs: DataFrame, texts: dict[str, str], least: float = 0.0) -> DataFr
             found = predict_whole(parser(model), [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.runtime import fold
+from evidentia.llm.runtime import fold, lean
 
 #: The training sample's bounds: labelled documents asked for per class, and characters taken from each.
 SAMPLE_DOCS, EXCERPT = 1_200, 6_000
@@ -115,7 +115,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), (fold("doc_id", 3) == 1).alias("held_out"), docs["text"])
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -126,4 +126,4 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at).to_pylist(), model) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
