@@ -5,7 +5,8 @@ position and ignores the others, so a substituted word at an ignored place doesn
 documents and of benchmark items with equal hashes are hits; hits with one difference of positions are one diagonal of
 (document, item). Around the hits of a diagonal all words are compared: it is an overlap if WINDOW words of the item have
 at most MISSES substitutions, or if at least SHARE of the item's words are equal. The masks find every window of 13 words
-with two substitutions and every one of 15 with three, so no such overlap is lost.
+with two substitutions and every one of 15 with three; SHORT_MASKS complete items of up to SHORT_ITEM words, so no such
+overlap is lost.
 
 The item side is small; while it has at most BROADCAST_ROWS positions it is broadcast, beyond it the joins are shuffled.
 Documents' words are hashed and compared in place and never shuffled on the broadcast path; only documents on a diagonal
@@ -26,6 +27,8 @@ from evidentia.llm.runtime import cut, small
 
 #: Fixed masks: 1 compares a word, 0 ignores it. All begin with two words compared, which a cheap join checks first.
 MASKS = ("11111", "111011", "110111")
+#: Further masks for items of up to SHORT_ITEM words, which have too few places for the others.
+SHORT_MASKS, SHORT_ITEM = ("1111", "11011", "111"), 11
 WINDOW, MISSES, SHARE = 13, 2, 0.8
 SPAN = max(map(len, MASKS))
 
@@ -44,24 +47,26 @@ def positions(rows: DataFrame, *keep: str) -> DataFrame:
     return out.select(*keep, "pos", *[F.col("w").getField(f"w{k}").alias(f"w{k}") for k in range(SPAN)]).filter("w1 IS NOT NULL")
 
 
-def seeds(rows: DataFrame, *keep: str) -> DataFrame:
+def seeds(rows: DataFrame, *keep: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """`keep`, pos, seed: a row for each mask that lies within the text there."""
 
-    def one(k: int, mask: str) -> Column:
+    def one(mask: str) -> Column:
         used = [F.col(f"w{j}") for j, c in enumerate(mask) if c == "1"]
-        return F.when(used[-1].isNotNull(), F.xxhash64(F.lit(k), *used))
+        return F.when(used[-1].isNotNull(), F.xxhash64(F.lit(mask), *used))
 
-    return rows.select(*keep, "pos", F.explode(F.array(*[one(k, m) for k, m in enumerate(MASKS)])).alias("seed")).filter("seed IS NOT NULL")
+    return rows.select(*keep, "pos", F.explode(F.array(*[one(m) for m in masks])).alias("seed")).filter("seed IS NOT NULL")
 
 
 def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, shift (document position less item position) of all hits, distinct."""
-    item_at = cut(positions(items, "item_id"))
+    item_at = cut(positions(items.withColumn("n", F.size("words")), "item_id", "n"))
+    short = item_at.filter(F.col("n") <= SHORT_ITEM)
     pairs = small(cut(item_at.select(F.xxhash64("w0", "w1").alias("pair")).distinct()))
-    item_seeds = small(cut(seeds(item_at, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()))
+    item_seeds = small(cut(seeds(item_at, "item_id").union(seeds(short, "item_id", masks=SHORT_MASKS)).select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()))
     doc_at = positions(docs.select("doc_id", words("text").alias("words")), "doc_id").withColumn("pair", F.xxhash64("w0", "w1"))
     begun = doc_at.join(pairs, "pair", "left_semi")
-    return seeds(begun, "doc_id").join(item_seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    masks = MASKS if short.isEmpty() else MASKS + SHORT_MASKS
+    return seeds(begun, "doc_id", masks=masks).join(item_seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
