@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from evidentia.llm.runtime import lean
+from evidentia.llm.runtime import map_arrow
 
 #: White-space separated chunks whose encodings a worker keeps.
 CACHE_WORDS = 250_000
@@ -196,11 +196,12 @@ def load(path: str) -> WordBPE:
 def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and with `keep_ids` the ids and the decoded text.
 
-    `path` names the vocabulary file on every worker. One narrow pass; no shuffle."""
+    `path` names the vocabulary file, which the driver reads and broadcasts. One narrow pass; no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(load(path))  # a vocabulary, which doesn't grow with the data
     chunk = 2_000_000  # characters at a time, so that a batch of very long texts needs bounded memory
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = model.value
         for batch in batches:
             ids, texts, start = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
             while start < len(texts):
@@ -219,4 +220,4 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = False) -> D
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     names = [part.split()[0] for part in schema.split(", ")]
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(lean(run), schema)
+    return map_arrow(rows, run, schema)

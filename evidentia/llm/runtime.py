@@ -17,14 +17,34 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: The most bytes of an Arrow batch between the JVM and Python, about; long texts would else make batches of any size.
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one, in local mode only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidentia-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
 
 
+def economical(spark: SparkSession) -> None:
+    """Session settings that bound memory and disk: small Arrow batches, and shuffle files that go when their query ends."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow() in batches of bounded bytes, by workers that give memory back at the end of a partition."""
+    economical(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder's URI below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +59,7 @@ def remove_folder(spark: SparkSession, uri: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialised once in the shared folder; later reads survive lost executors."""
     shared_folder(df.sparkSession)
+    economical(df.sparkSession)
     return df.checkpoint()
 
 
