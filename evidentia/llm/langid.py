@@ -1,9 +1,14 @@
 """Language identification by cross-parsing: a text is cut into the longest phrases that a language's sample holds.
 
 Per language, a suffix automaton of a labelled sample accepts exactly the sample's substrings. A text is parsed greedily:
-a phrase ends where the automaton has no transition for the next letter. Few phrases mean that the text shares long
-substrings with the sample, so phrases times log2(sample size), over the text's length, estimates its cross entropy. The
-language with the least wins. Automata are dense transition tables, so that all texts of a batch advance together.
+a phrase ends where the automaton has no transition for the next letter, and after PIECE codes, so that the pieces of all
+texts of a batch advance together through dense transition tables. Few phrases mean that the text shares long substrings
+with the sample, so phrases times log2(sample size), over the text's length, estimates its cross entropy. The language
+with the least wins.
+
+The sample is bounded by rows: at most SAMPLE_DOCS labelled documents a language, always as whole texts, those of up to
+PLAIN characters before longer ones, in the order of a hash; a further row is taken only while a language's sample has at
+most SAMPLE_CHARS characters with it. The automata are built once, on the driver.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0. Without any training row every text gets
 ``und``. Ties go to the language that sorts first. Each row gives one row, repeated rows too; lang, source and doc_id
@@ -19,29 +24,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from evidentia.llm.runtime import fold, lean
+from evidentia.llm.runtime import fold, map_arrow
 
-#: The training sample's bounds, which hold on any corpus: documents asked for per language, characters taken from each,
-#: characters per language, and characters of all languages together.
-SAMPLE_DOCS, EXCERPT, SAMPLE_CHARS, ALL_CHARS = 150, 2_000, 20_000, 1_000_000
+#: The training sample's bounds, which hold on any corpus: rows per language, characters up to which rows are alike in
+#: rank, and characters per language and of all languages beyond which no further row is taken.
+SAMPLE_DOCS, PLAIN, SAMPLE_CHARS, ALL_CHARS = 100, 2_000, 24_000, 1_000_000
+#: Codes after which a phrase ends anyway.
+PIECE = 1_024
 UNKNOWN = "und"
 
 
 def sample(docs: DataFrame, trains: Column) -> dict[str, str]:
-    """A bounded text per language: documents chosen by a hash of their id, at most SAMPLE_CHARS characters."""
-    rows = docs.filter(trains & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """The whole texts of a bounded number of labelled rows for each language, joined by blanks."""
+    rows = docs.filter(trains & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("at"), F.xxhash64("text").alias("h"), F.length("text").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(PLAIN)), "at", "h")
+    # tasks keep SAMPLE_DOCS rows a language before anything is shuffled
+    first = rows.select("lang", "size", "at", "h").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS).collect()
+    chosen: dict[str, dict[int, int]] = {}  # by language, sizes by text hash
+    keys, most = [], min(SAMPLE_CHARS, ALL_CHARS // max(1, len({r["lang"] for r in first})))
+    for r in sorted(first, key=lambda r: (r["lang"], r["rank"])):
+        taken = chosen.setdefault(r["lang"], {})
+        if r["h"] not in taken and (not taken or sum(taken.values()) + r["size"] <= most):
+            taken[r["h"]] = r["size"]
+            keys.append((r["lang"], r["at"], r["h"], r["rank"]))
+    if not keys:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = rows.filter(place < share[F.col("lang")]).select("lang", F.substring("text", 1, EXCERPT).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("at")).collect()
-    most = max(1_000, min(SAMPLE_CHARS, ALL_CHARS // len(counts)))
-    out: dict[str, dict[str, None]] = {lang: {} for lang in counts}
-    for r in sorted(taken, key=lambda r: (r["at"], r["text"])):
-        out[r["lang"]].setdefault(r["text"])
-    return {lang: " ".join(texts)[:most] for lang, texts in sorted(out.items()) if texts}
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "lang string, at bigint, h bigint, rank int"))
+    texts = rows.join(wanted, ["lang", "at", "h"]).groupBy("lang", "rank").agg(F.max("text").alias("text")).collect()  # a row for each key
+    out: dict[str, list[str]] = {}
+    for r in sorted(texts, key=lambda r: (r["lang"], r["rank"])):
+        out.setdefault(r["lang"], []).append(r["text"])
+    return {lang: " ".join(found) for lang, found in out.items()}
 
 
 @lru_cache(maxsize=1)
@@ -117,22 +132,26 @@ class CrossParser:
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language the estimated bits a letter, and per text whether it has letters."""
         codes = [self.squeeze(code_points(t)) for t in texts]
-        size = np.array([len(c) for c in codes])
-        order = np.argsort(-size, kind="stable")
+        total = np.array([len(c) for c in codes])
         flat = np.concatenate(codes).astype(np.int64)
-        at = (np.concatenate([[0], np.cumsum(size)[:-1]]))[order]
-        ordered = size[order]
-        active = np.searchsorted(-ordered, -np.arange(ordered[0]), side="left")  # texts longer than each step
-        state = np.tile(np.array(self.roots, np.int64), (len(texts), 1))
-        phrases = np.zeros((len(texts), len(self.langs)), np.int64)
+        n_pieces = -(-total // PIECE)
+        of = np.repeat(np.arange(len(texts)), n_pieces)
+        place = (np.arange(len(of)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)) * PIECE
+        begin, size = (np.cumsum(total) - total)[of] + place, np.minimum(PIECE, total[of] - place)
+        order = np.argsort(-size, kind="stable")
+        at, ordered = begin[order], size[order]
+        active = np.searchsorted(-ordered, -np.arange(ordered[0]), side="left")  # pieces longer than each step
+        state = np.tile(np.array(self.roots, np.int64), (len(of), 1))
+        phrases = np.zeros((len(of), len(self.langs)), np.int64)
         table, width = self.table, self.width
         for t, k in enumerate(active.tolist()):
             moved = table[state[:k] * width + flat[at[:k] + t][:, None]]
             phrases[:k] += moved & 3
             state[:k] = moved >> 2
-        bits = np.empty(phrases.shape)
-        bits[order] = (phrases + 1) * self.bits / ordered[:, None]
-        return bits, size > 1
+        back = np.empty_like(phrases)
+        back[order] = phrases + 1
+        summed = np.add.reduceat(back, np.cumsum(n_pieces) - n_pieces, axis=0)
+        return summed * self.bits / total[:, None], total > 1
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score: the share of the second-best entropy in the sum of the best two, from 0.5 to 1."""
@@ -147,11 +166,6 @@ class CrossParser:
         return [(self.langs[b], float(s)) if ok else (UNKNOWN, 0.0) for b, s, ok in zip(best, score, known, strict=True)]
 
 
-@lru_cache(maxsize=2)
-def parser(texts: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(texts)
-
-
 def predict_whole(parsed: CrossParser, texts: list[str], chunk: int = 2_000_000) -> list[tuple[str, float]]:
     """As predict(), at most about `chunk` characters at once."""
     out, part, size = [], [], 0
@@ -166,24 +180,24 @@ def predict_whole(parsed: CrossParser, texts: list[str], chunk: int = 2_000_000)
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """doc_id, held_out, lang_pred, score; `texts` is a sample() per language. One narrow pass."""
-    model = tuple(texts.items())
+    model = docs.sparkSession.sparkContext.broadcast(CrossParser(tuple(texts.items())))  # bounded as the sample is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = predict_whole(parser(model), [t or "" for t in batch.column(2).to_pylist()])
+            found = predict_whole(model.value, [t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), docs["text"])
-    return rows.mapInArrow(lean(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, texts: dict[str, str], least: float = 0.0) -> DataFrame:
     """The rows of `docs`, all columns, whose language is known with a score of `least` or more."""
-    model, at = tuple(texts.items()), docs.columns.index("text")
+    model, at = docs.sparkSession.sparkContext.broadcast(CrossParser(tuple(texts.items()))), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = predict_whole(parser(model), [t or "" for t in batch.column(at).to_pylist()])
+            found = predict_whole(model.value, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return map_arrow(docs, run, docs.schema)
