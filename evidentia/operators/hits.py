@@ -9,18 +9,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import kernels as k
+from evidentia.functions import scan
 from evidentia.functions.urls import canonical_url, is_list_page, is_off_topic, is_usable
 
 HITS, ATTEMPTS = 12, 3
 # Words of a query that don't tell one product from another.
 GENERIC = frozenset("catalogue caracteristiques comparison comparaison constructeur datasheet documentation equivalent fiche manufacturer produit product specifications technique technical".split())
 ENGINE_GENERIC = frozenset("catalogue caracteristiques datasheet documentation fiche product produit specification specifications technique technical contacteur disjoncteur relais interrupteur variateur industriel industrial".split())
-TOKEN = re.compile(r"[a-z0-9]+(?:[-_./×][a-z0-9]+)*", re.I)
+JOINTS = "-_./×"  # of a hit's words
+
+
+def words_of(text: str) -> list[str]:
+    return [c for c, _, _ in scan.codes(text, JOINTS)]
+
+
+def anchors_of(text: str) -> list[str]:
+    """Runs of four digits or more that stand alone."""
+    return [c for c, _, _ in scan.codes(text, "") if c.isdigit() and len(c) >= 4]
+
+
+def has_any_anchor(text: str, anchors: list[str]) -> bool:
+    return any(c.startswith(a) for c, _, _ in scan.codes(text.casefold(), "") for a in anchors)
 
 
 def numeric_anchors(query: Column) -> Column:
     """Distinct runs of four digits or more that stand alone."""
-    return F.array_distinct(F.regexp_extract_all(query, F.lit(r"(?<![A-Za-z0-9])\d{4,}(?![A-Za-z0-9])"), F.lit(0)))
+    runs = F.regexp_extract_all(query, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return F.array_distinct(F.filter(runs, lambda r: r.rlike("^[0-9]{4,}$")))
 
 
 def has_anchor(text: Column, anchors: Column) -> Column:
@@ -42,15 +57,15 @@ def bang_query(shortcut: Column, query: Column) -> Column:
 
 
 def tokens(text: str, generic: frozenset[str] | None) -> set[str]:
-    keys = {k.folded_key(t) for t in TOKEN.findall(text)}
+    keys = {k.folded_key(t) for t in words_of(text)}
     return keys if generic is None else {t for t in keys if len(t) >= 4 and t not in generic}
 
 
 def matches_query(url: str, title: str, snippet: str, query: str) -> bool:
     """Does an engine's hit take up the query: a number of it, or two of its telling words?"""
     text = "\n".join((url or "", title or "", snippet or ""))
-    if anchors := re.findall(r"(?<![A-Za-z0-9])\d{4,}(?![A-Za-z0-9])", query or ""):
-        return any(t.startswith(a) for t in re.findall("[a-z0-9]+", text.casefold()) for a in anchors)
+    if anchors := anchors_of(query or ""):
+        return has_any_anchor(text, anchors)
     wanted = tokens(query or "", ENGINE_GENERIC)
     return len(wanted) < 2 or len(wanted & tokens(text, None)) >= 2
 
@@ -63,10 +78,10 @@ def matches_context(url: str, title: str, snippet: str, query: str, references:
     key = k.folded_key(text)
     if references:
         return any(len(r) >= 4 and r in key for r in references)
-    if anchors := re.findall(r"(?<![A-Za-z0-9])\d{4,}(?![A-Za-z0-9])", query or ""):
-        return any(t.startswith(a) for t in re.findall("[a-z0-9]+", text.casefold()) for a in anchors)
+    if anchors := anchors_of(query or ""):
+        return has_any_anchor(text, anchors)
     wanted = tokens(query or "", GENERIC)
-    codes = {k.folded_key(t) for t in TOKEN.findall(query or "") if re.search(r"\d\d", t) and len(k.folded_key(t)) >= 4}
+    codes = {k.folded_key(t) for t in words_of(query or "") if re.search(r"\d\d", t) and len(k.folded_key(t)) >= 4}
     if codes:
         words = re.findall("[a-z0-9]+", k.unaccented(text).casefold())
         return any(c in key for c in codes) or any(w.startswith(a) for a in wanted if not re.search(r"\d", a) for w in words)

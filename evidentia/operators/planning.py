@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import kernels as k
+from evidentia.functions import scan
 from evidentia.operators.hits import tidy_query, without_origin
 from evidentia.operators.identity import origin_of
 
@@ -17,25 +18,29 @@ PER_WAVE, MOST_WORDS, ANGLES_PER_LEAD = 3, 14, 2
 ANGLES = ("fiche produit", "caractéristiques techniques", "documentation constructeur pdf")
 LEAD_ANGLES = ("fiche technique", "datasheet")
 IDENTITY_WORDS = frozenset("reference marque gamme brand modele model".split())
-CODE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z0-9_-]*[A-Za-z])(?=[A-Za-z0-9_-]*\d)[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)+(?![A-Za-z0-9])")
+
+
+def own_codes(product: str | None) -> list[str]:
+    """The product's codes of two parts or more, with letters and digits."""
+    return [c for c, _, _ in scan.codes(product or "", "-_") if scan.mixed(c) and not c.isalnum()]
 
 
 def family(product: str | None) -> str:
     """The part before the first separator of the product's longest code, if it has four characters and a digit."""
-    codes = CODE.findall(product or "")
+    codes = own_codes(product)
     head = re.split("[-_]", max(codes, key=len))[0] if codes else ""
     return head if len(head) >= 4 and re.search(r"\d", head) else ""
 
 
 def suffixes(product: str | None) -> list[str]:
     """Telling codes behind separators of the product's codes, the longest first."""
-    parts = {p.casefold() for code in CODE.findall(product or "") for p in re.split("[-_]", code)[1:]}
+    parts = {p.casefold() for code in own_codes(product) for p in re.split("[-_]", code)[1:]}
     return sorted((p for p in parts if len(p) >= 4 and re.search("[a-z]", p) and re.search(r"\d", p)), key=lambda p: (-len(p), p))
 
 
 def with_family(query: str, product: str) -> str:
     """A query with the family in the place of the product's own codes."""
-    for code in dict.fromkeys(CODE.findall(product or "")) if family(product) else ():
+    for code in dict.fromkeys(own_codes(product)) if family(product) else ():
         query = re.sub(r"(?<![A-Za-z0-9])" + r"[\W_]*".join(re.findall("[A-Za-z0-9]+", code)) + r"(?![A-Za-z0-9])", family(product), query, flags=re.I)
     return tidy_query(query)
 
