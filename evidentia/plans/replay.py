@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.operators import evidence, near_miss
+from evidentia.operators import evidence, near_miss, reaudit
 from evidentia.operators.identity import Brands
 from evidentia.runtime import cut
 from evidentia.sources.corpus import Corpus, load, load_tables
@@ -43,13 +43,18 @@ def replay(corpus: Corpus, brands: Brands = Brands()) -> Replay:
     # each step is read several times by the next; without cuts the plan would double at each
     missions, requirements, pages = cut(missions), cut(requirements), cut(pages)
     checked = cut(evidence.validate(cut(criteria), requirements, pages))
-    merged = cut(evidence.with_proof_types(cut(evidence.merge(checked)), pages, brands))
-    valid = cut(evidence.validate(merged, requirements, pages))
+    merged = cut(evidence.merge(checked))
+    # the first pass can only take an incompatibility back; what it opens is proven by the second
+    once = cut(reaudit.reaudit(merged, requirements, missions, pages, brands))
+    twice = cut(reaudit.reaudit(once.drop("reaudited"), requirements, missions, pages, brands).drop("reaudited"))
+    valid = cut(evidence.validate(twice, requirements, pages))
+    taken_back = reaudit.downgraded(merged, once, requirements, missions)
     broken = checked.filter("contract_error IS NOT NULL").select(*valid.columns)
     scored = evidence.evaluate(valid.unionByName(broken), requirements, missions, pages, brands)
     scored = scored.join(evidence.merged_remarks(checked, remarks), ["mission_id", "candidate_id"], "left")
     none = F.array().cast("array<string>")
-    scored = cut(scored.withColumn("deviations", F.coalesce("deviations", none)).withColumn("limitations", F.coalesce("limitations", none)))
+    scored = scored.join(taken_back, ["mission_id", "candidate_id"], "left")
+    scored = cut(scored.withColumns({c: F.coalesce(c, none) for c in ("deviations", "limitations", "downgraded")}))
     urls = valid.groupBy("mission_id", "candidate_id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("proofs.url").alias("u")))), lambda x: x["u"]))).alias("urls"))
     assessed = scored.filter("error IS NULL").join(urls, ["mission_id", "candidate_id"], "left")
     assessed = assessed.withColumn("identity", F.col("reference")).withColumn("family", near_miss.search_family(F.col("reference"), F.coalesce("urls", none)))
@@ -69,7 +74,7 @@ def apart(rows: DataFrame) -> DataFrame:
 
 def journal(evaluations: DataFrame) -> DataFrame:
     """What each wave found out, without what an earlier wave said already."""
-    facts = ["mission_id", "page_url", "brand", "reference", "score", "eligible", "complete", "official_proof_count", "proof_url_count", "proven_criteria", "not_proven_criteria", "incompatible_criteria", "critical_blockers", "unverified_criteria", "error"]
+    facts = ["mission_id", "page_url", "brand", "reference", "score", "eligible", "complete", "official_proof_count", "proof_url_count", "proven_criteria", "not_proven_criteria", "incompatible_criteria", "critical_blockers", "unverified_criteria", "downgraded", "error"]
     first = Window.partitionBy(*facts).orderBy("wave")
     return evaluations.select(*facts, "wave").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 

@@ -49,7 +49,7 @@ def parse(texts: dict[str, DataFrame]) -> Corpus:
     req = rows("requirements", f"struct<{typed(schemas.REQUIREMENTS_JSON)}>").select("mission_id", "v.*")
     man = rows("manifest", f"struct<{typed(schemas.MANIFEST_JSON)}>").select("mission_id", "v.*")
     audits = rows("audits", f"array<struct<page_url:string,candidates:array<{schemas.CANDIDATE}>>>").withColumnRenamed("v", "audits")
-    pages = rows("pages", "map<string,string>").select("mission_id", F.explode("v").alias("url", "content"))
+    pages = rows("pages", "map<string,string>").select("mission_id", F.posexplode("v").alias("page_ord", "url", "content"))
 
     missions = req.select("mission_id", "product", F.coalesce("origin_brand", F.lit("")).alias("origin_brand")).join(man.select("mission_id", "target_brand", "threshold", F.col("strict_evidence").alias("strict")), "mission_id")
     requirements = req.select("mission_id", F.posexplode("criteria").alias("ord", "c")).select("mission_id", "ord", F.col("c.id").alias("requirement_id"), "c.label", "c.requested_value", F.coalesce("c.critical", F.lit(True)).alias("critical"))
