@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most rows of a few fixed-width columns that are broadcast; beyond it a join is shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 #: The most bytes of an Arrow batch between the JVM and Python, about; long texts would else make batches of any size.
@@ -57,10 +57,16 @@ def remove_folder(spark: SparkSession, uri: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialised once in the shared folder; later reads survive lost executors."""
-    shared_folder(df.sparkSession)
-    economical(df.sparkSession)
-    return df.checkpoint()
+    """Materialised once in the shared folder; later reads survive lost executors.
+
+    A checkpoint hands the size that its plan was guessed to have on to the plans that read it. In iterations of joins the
+    guesses multiply until their digits alone slow the optimizer down, so the rows are taken without a guess."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    economical(spark)
+    done = df.checkpoint()
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def cut_few(df: DataFrame) -> DataFrame:
