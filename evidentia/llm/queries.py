@@ -75,15 +75,24 @@ OP8_SQL = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(k)
-)
+), g AS (
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars,
-  substr(sha256('messages' || chr(10) || 'messages[].content' || chr(10) || 'messages[].role'), 1, 16) AS fingerprint,
-  'messages' AS layout
+  array_agg(role ORDER BY turn NULLS FIRST, role, text) AS roles, (array_agg(text ORDER BY turn NULLS FIRST, role, text))[1] AS first_text, ((coalesce(conv_id, 0) % 4) + 4) % 4 AS m
 FROM r GROUP BY conv_id
+), l AS (
+SELECT *, CASE WHEN roles = ['user', 'assistant'] THEN ['prompt_response', 'question_answer', 'instruction_output', 'nested_prompt'][m + 1]
+  WHEN roles = ['system', 'user', 'assistant'] AND first_text <> '' THEN 'system_instruction'
+  WHEN m % 2 = 1 AND NOT list_has_any(roles, ['human', 'gpt', 'bot', 'model']) THEN 'conversations' ELSE 'messages' END AS layout FROM g
+), p AS (
+SELECT *, CASE layout WHEN 'prompt_response' THEN 'prompt,response' WHEN 'question_answer' THEN 'answer,question' WHEN 'instruction_output' THEN 'instruction,output'
+  WHEN 'nested_prompt' THEN 'prompt,prompt.text,response,response.text' WHEN 'system_instruction' THEN 'input,instruction,output,system'
+  WHEN 'conversations' THEN 'conversations,conversations[].from,conversations[].value' ELSE 'messages,messages[].content,messages[].role' END AS paths FROM l
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, substr(sha256(replace(paths, ',', chr(10))), 1, 16) AS fingerprint, layout FROM p
 """
 
 
