@@ -205,3 +205,82 @@ def test_pipeline_keeps_clean_documents(spark):
         assert kept.columns == docs.columns and 0.6 * docs.count() < kept.count() <= docs.count(), name
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
     assert {n for n, _ in corpus_pipeline.STAGES} == {"language", "quality", "near_dedup", "decontamination", "bpe"}
+
+
+def test_style_tree_against_brute_force(spark):
+    """Unlabelled boilerplate of a host goes by importance, computed here from its definition; what varies stays."""
+    from math import log
+
+    def page(k):
+        return f"<body><div class=box><p>Same words on each page</p></div><div class=text><p>Own words {k}</p></div><section><p>{'odd' if k % 2 else 'even'} words</p></section></body>"
+
+    rows = [(k, f"https://h.example/{k}", page(k)) for k in range(8)] + [(100 + k, f"https://few.example/{k}", page(k)) for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+    def importance(counts, m):  # of a leaf's branch: one child sequence, texts with these page counts
+        drawn = lambda x: (m * x + html_text.WEIGHT) / (m + html_text.WEIGHT)
+        content = drawn(1 - sum(map(log, counts)) / len(counts) / log(m))
+        return (1 - html_text.G) * drawn(0) + html_text.G * content
+
+    for m, start in ((8, 0), (2, 100)):
+        parts = [("Same words on each page", [m]), ("Own words {k}", [1] * m), ("{w} words", [m // 2] * 2)]
+        kept = [text for text, counts in parts if importance(counts, m) >= html_text.LEAST]
+        for k in range(m):
+            assert got[start + k] == "\n\n".join(t.format(k=k, w="odd" if k % 2 else "even") for t in kept)
+    assert "Same words" not in got[0] and "Same words" in got[100]  # two pages decide little
+
+
+def test_deep_and_odd_pages(spark):
+    deep = "<div>" * 3_000 + "<p>Deep text</p>" + "</div>" * 3_000
+    rows = [(1, None, deep), (2, None, "<footer>" + deep + "</footer><p>Kept</p>"), (3, "broken", None), (3, "broken", "<p>Twice</p>")]
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
+    assert got == [(1, "Deep text"), (2, "Kept"), (3, ""), (3, "Twice")]
+
+
+def test_quality_against_plain_compression(spark):
+    """A score follows from the two compressed sizes alone."""
+    import zstandard
+
+    texts = [("good", f"The engineer measured the coil {k} and wrote the result into the log.") for k in range(300)] + [("bad", f"BUY!!! cheap $$$ click {k} >>> win win win") for k in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(kind == "good")) for k, (kind, _) in enumerate(texts)] + [(0, 0), (1, None)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    good, bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=zstandard.ZstdCompressionParameters.from_level(quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)) for d in (model.good, model.bad))
+    for r in quality.classify(docs, model).collect():
+        raw = texts[r["doc_id"]][1].encode()
+        z = model.weights[0] + model.weights[1] * (len(bad.compress(raw)) - len(good.compress(raw))) / len(raw)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z))) and r["predicted"] == (texts[r["doc_id"]][0] == "good")
+    one = quality.train(docs, labels.filter("quality = 1"))
+    assert len({r["score"] for r in quality.classify(docs, one).collect()}) == 1
+
+
+def test_many_edits_against_the_table():
+    import random
+
+    from evidentia.llm import omh
+
+    rng = random.Random(5)
+    for _ in range(400):
+        a = [rng.randrange(rng.choice([3, 30])) for _ in range(rng.randrange(40))]
+        b = [x for x in a if rng.random() > 0.2] + [rng.randrange(5) for _ in range(rng.randrange(6))]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        most = rng.randrange(25)
+        assert omh.edits_within(np.array(a, np.uint64), np.array(b, np.uint64), most) == (row[-1] if row[-1] <= most else None)
+
+
+def test_chat_layouts_and_clashing_columns(spark):
+    rows = [(json.dumps({"prompt": "a", "response": "b", "extra": 1}), "x"), (json.dumps({"unknown": 1}), "y"), (json.dumps({"messages": []}), "z"), (None, "n")]
+    df = spark.createDataFrame(rows, "record string, fingerprint string").withColumn("turns", F.lit(3)).withColumn("_c", F.lit(1))
+    got = {r["record"]: r for r in chat.format_turns(chat.convert(df)).collect()}
+    assert [(t["role"], t["text"]) for t in got[rows[0][0]]["turns"]] == [("user", "a"), ("assistant", "b")] and got[rows[0][0]]["_c"] == 1
+    assert got[rows[1][0]]["layout"] is None and got[rows[2][0]]["layout"] == "messages" and got[None]["turns"] == []
+    assert chat.format_turns(chat.convert(df.limit(0))).count() == 0
+    turns = [(n, k, r, t) for n in range(8) for k, (r, t) in enumerate([("user", "q" * 9), ("assistant", "a\n\nb")])] + [(9, 0, "gpt", "x"), (11, 0, "user", "x"), (13, 0, "system", ""), (13, 1, "user", "u"), (13, 2, "assistant", "v")]
+    made = chat.convert(chat.conversation_records(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")))
+    found = {r["conv_id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in made.collect()}
+    assert {layout for layout, _ in found.values()} == {*chat.EXCHANGES, "messages", "conversations"}
+    assert all(said == [(r, t) for m, _, r, t in turns if m == n] for n, (_, said) in found.items())
