@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import urls
-from evidentia.operators import evidence, gate, hits, identity
+from evidentia.operators import evidence, gate, hits, identity, literal
 
 QUERIES, ORACLES = {}, {}
 
@@ -30,20 +30,14 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def literal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, n_parts, doc_id, source, part of each sentence of an item that stands literally in a document.
+    """item_id, n_parts, doc_id, source, part of each sentence, of four words or more, that stands literally in a document."""
+    parts = t(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", r"(?<=[.])\s+"), lambda s: F.size(literal.words(s)) >= literal.LEAST_WORDS)).alias("part", "sentence"))
+    parts = parts.withColumn("n_parts", F.count("*").over(Window.partitionBy("item_id")))
+    found = literal.occurrences(parts.withColumnRenamed("sentence", "phrase"), t(spark, d, "documents").select("doc_id", "source", "text"))
+    return found.select("item_id", "n_parts", "doc_id", "source", "part").distinct()
 
-    Sentences are found by their first word's place: documents are cut into words once, and each sentence is compared only
-    where its three first words stand, so the join is an equi-join; items are few and broadcast only while they are."""
-    parts = t(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", r"(?<=[.])\s+"), lambda s: F.length(s) >= 20)).alias("part", "sentence"))
-    parts = parts.withColumn("n_parts", F.count("*").over(Window.partitionBy("item_id"))).withColumn("words", F.split("sentence", r"\s+")).withColumn("key", F.xxhash64(F.array_join(F.slice("words", 1, 2), " ")))
-    docs = t(spark, d, "documents").select("doc_id", "source", "text")
-    words = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
-    keys = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 2), " "))))).alias("key"))
-    found = keys.join(parts, "key").select("doc_id", "item_id", "part", "n_parts", "sentence").join(docs, "doc_id")
-    return found.filter(F.contains("text", F.col("sentence"))).select("item_id", "n_parts", "doc_id", "source", "part").distinct()
 
-
-PARTS_SQL = r"""WITH s AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 20)) AS sentence, text FROM benchmark),
+PARTS_SQL = r"""WITH s AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+')) >= 4)) AS sentence, text FROM benchmark),
 p AS (SELECT item_id, sentence, row_number() OVER (PARTITION BY item_id) AS part, count(*) OVER (PARTITION BY item_id) AS n_parts FROM s),
 f AS (SELECT item_id, n_parts, doc_id, source, part FROM p JOIN documents d ON contains(d.text, p.sentence))"""
 
@@ -116,46 +110,6 @@ def gate_counters(spark: SparkSession, d: str) -> DataFrame:
     return gate.counters(t(spark, d, "pages").select((F.col("page_id") % 4).cast("string").alias("mission_id"), (m == 0).alias("accepted"), F.when(m == 0, "ACCEPTED").when(m == 1, "REJECTED_FOR_PRODUCT_EVIDENCE").otherwise("NOT_READY_FOR_PRODUCT_EVIDENCE").alias("reason")))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^A-Za-z0-9](\d{4,})[^A-Za-z0-9]', 1))), ',') AS anchors FROM documents WHERE regexp_matches(text, '\d{4}')")
-def numeric_anchors(spark: SparkSession, d: str) -> DataFrame:
-    # the oracle's consuming boundaries need doubled blanks; both sides see the same text
-    text = F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" "))
-    return t(spark, d, "documents").filter(F.col("text").rlike(r"\d{4}")).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^A-Za-z0-9](\d{4,})[^A-Za-z0-9]"), F.lit(1)))), ",").alias("anchors"))
-
-
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(replace(text, ' ', '  '), '\b[A-Z0-9]{2,}(?:-[A-Z0-9]+)*\b'), lambda x: length(x) >= 5 AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]')))), ',') AS codes FROM documents WHERE regexp_matches(text, '[A-Z0-9]{2}')")
-def identity_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Codes that may be part numbers, in documents that have two capitals or digits together."""
-    docs = t(spark, d, "documents").filter(F.col("text").rlike("[A-Z0-9]{2}"))
-    found = F.regexp_extract_all(F.replace("text", F.lit(" "), F.lit("  ")), F.lit(r"\b[A-Z0-9]{2,}(?:-[A-Z0-9]+)*\b"), F.lit(0))
-    return docs.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 5) & x.rlike("[A-Z]") & x.rlike("[0-9]")))), ",").alias("codes"))
-
-
-@query("""WITH s AS (SELECT l_suppkey, l_partkey, count(*) FILTER (l_returnflag = 'N') AS proven, count(*) AS notable, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS official FROM lineitem GROUP BY ALL)
-SELECT l_suppkey, l_partkey, CAST(100 * proven // notable AS BIGINT) AS score, official FROM s QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY 100 * proven // notable DESC, official DESC, l_partkey) = 1""")
-def score_by_group(spark: SparkSession, d: str) -> DataFrame:
-    """The score aggregate over line items as criteria, and each supplier's best part with its tie-breaks."""
-    s = t(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("proven"), F.count("*").alias("notable"), F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("official"))
-    s = s.withColumn("score", F.expr("100 * proven div notable"))
-    best = Window.partitionBy("l_suppkey").orderBy(F.desc("score"), F.desc("official"), "l_partkey")
-    return s.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("l_suppkey", "l_partkey", "score", "official")
-
-
-@query("""SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END, -event_id)) AS status, count(*) AS n FROM events GROUP BY user_id""")
-def merge_max_status(spark: SparkSession, d: str) -> DataFrame:
-    """The best status of a group, the first of ties."""
-    rank = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "click", 1).otherwise(0)
-    return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct(rank, -F.col("event_id"))).alias("status"), F.count("*").alias("n"))
-
-
-@query("""WITH w AS (SELECT w.wave, e.user_id, e.event_id FROM (SELECT unnest([1, 2, 3, 4]) AS wave) w JOIN (SELECT *, event_id % 4 + 1 AS first_wave FROM events) e ON e.first_wave <= w.wave)
-SELECT wave, user_id, count(*) AS n, max(event_id) AS last_event FROM w GROUP BY ALL""")
-def wave_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Everything up to each of four waves, counted anew: one pass that gives a row to each later wave."""
-    e = t(spark, d, "events").select("user_id", "event_id", F.explode(F.sequence((F.col("event_id") % 4 + 1).cast("int"), F.lit(4))).alias("wave"))
-    return e.groupBy("wave", "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
-
-
 @query()
 def set_cover(spark: SparkSession, d: str) -> DataFrame:
     """The fewest days that show all of a user's kinds of events."""
@@ -163,37 +117,6 @@ def set_cover(spark: SparkSession, d: str) -> DataFrame:
     return evidence.minimum_pages(e)
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderpriority AS criterion, count(*) AS blockers FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY blockers, criterion) - 1 AS priority FROM r)
-SELECT o_custkey, criterion, blockers, priority FROM k WHERE priority < 3""")
-def near_miss_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """A task for each criterion with a dense priority, and the first three of a budget."""
-    r = t(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey", F.col("o_orderpriority").alias("criterion")).agg(F.count("*").alias("blockers"))
-    order = Window.partitionBy("o_custkey").orderBy("blockers", "criterion")
-    return r.withColumn("priority", (F.row_number().over(order) - 1).cast("bigint")).filter("priority < 3")
-
-
-@query("SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY ALL")
-def journal_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """The first of entries that differ only in when they were made."""
-    first = Window.partitionBy("user_id", "event_type").orderBy("ts")
-    return t(spark, d, "events").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("user_id", "event_type", F.col("ts").alias("first_ts"))
-
-
-@query("""WITH g AS (SELECT min(doc_id) AS first_doc, max(quality) AS quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY md5(text)) SELECT first_doc, quality, n FROM g""")
-def quality_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts on equal texts merged by priority."""
-    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    return j.groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("doc_id").alias("first_doc"), F.max("quality").alias("quality"), F.count("*").alias("n")).drop("k")
-
-
-@query(r"""SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_extract_all(replace(text, ' ', '  '), '[A-Za-z0-9]{2,}(?:[-_.][A-Za-z0-9]+)+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda c: length(c) >= 8 AND regexp_matches(c, '[a-z]') AND regexp_matches(c, '[0-9]')))) AS INTEGER) AS n FROM documents WHERE text SIMILAR TO '[ -~\s]*'""")
-def page_identities(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct designations of ASCII documents."""
-    docs = t(spark, d, "documents").filter(F.col("text").rlike(r"^[ -~\s]*$"))
-    return docs.select("doc_id", identity.page_identity_count(F.replace("text", F.lit(" "), F.lit("  "))).alias("n"))
-
-
 @query()
 def html_clean_lengths(spark: SparkSession, d: str) -> DataFrame:
     from evidentia.operators.pages import clean_html
@@ -209,7 +132,7 @@ def spec_extraction(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", specifications("text").alias("specs")).filter(F.size("specs") > 0)
 
 
-@query()
+@query("SELECT 'demo' AS mission_id, 'complete' AS status, 'candidate_selected' AS final_state, 2 AS waves")
 def replay_demo(spark: SparkSession, d: str) -> DataFrame:
     """The made-up corpus replayed; independent of the tables."""
     from evidentia.plans.replay import replay_tables
@@ -228,21 +151,6 @@ def ean_checks(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("valid", k.udf(k.valid_ean, "boolean")("ean"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity BETWEEN 10 AND 10 + l_linenumber * 5 END AS fits FROM lineitem WHERE l_linestatus = 'O'""")
-def quantity_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Requested points against observed ranges; every third observation is in another unit, so nothing can be told."""
-    from evidentia.functions import kernels as k
-    from evidentia.functions import quantity
-
-    rows = t(spark, d, "lineitem").filter("l_linestatus = 'O'").select("l_orderkey", "l_linenumber", F.format_string("%d V", F.col("l_quantity").cast("int")).alias("requested"), F.when(F.col("l_linenumber") % 3 == 0, "10 - 20 A").otherwise(F.format_string("from 10 - %d V", 10 + F.col("l_linenumber") * 5)).alias("observed"))
-    return rows.select("l_orderkey", "l_linenumber", k.udf(quantity.within, "boolean")("requested", "observed").alias("fits"))
-
-
-@query("""SELECT p_brand, count(*) AS n, CAST(sum(CASE WHEN p_size >= 25 THEN 1 ELSE 0 END) AS BIGINT) AS near, min(p_partkey) AS first_part FROM part GROUP BY p_brand""")
-def candidate_counts(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") >= 25).alias("near"), F.min("p_partkey").alias("first_part"))
-
-
 @query()
 def query_plans(spark: SparkSession, d: str) -> DataFrame:
     """Three deterministic queries for each part as a mission, from two requirements."""
@@ -259,6 +167,272 @@ def coverage_orphans(spark: SparkSession, d: str) -> DataFrame:
     """Specifications of documents, as datasheets, that an empty list of requirements leaves uncovered."""
     from evidentia.operators import coverage
 
-    sheets = t(spark, d, "documents").filter(F.col("text").rlike(r"\d")).select(F.col("doc_id").cast("string").alias("mission_id"), F.lit("").alias("product"), F.col("text").alias("sheet"))
+    sheets = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("mission_id"), F.lit("").alias("product"), F.col("text").alias("sheet"))
     r = sheets.select("mission_id", F.lit("Sealing").alias("label"), F.lit("none").alias("requested_value"))
     return coverage.orphans(sheets, r).select("mission_id", "value", "reason")
+
+
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[0-9]{4,}')))), ',') AS anchors FROM documents")
+def numeric_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(hits.numeric_anchors(F.coalesce("text", F.lit("")))), ",").alias("anchors"))
+
+
+@query()
+def identity_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", identity.fallback_identities(F.lit(""), F.col("text")).alias("codes"))
+
+
+@query()
+def page_identities(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", identity.page_identity_count(F.col("text")).alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity BETWEEN 10 AND 10 + l_linenumber * 5 END AS fits FROM lineitem""")
+def quantity_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Requested points against observed ranges; every third observation is in another unit, so nothing can be told."""
+    from evidentia.functions import quantity
+
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%d V", F.col("l_quantity").cast("int")).alias("requested"), F.when(F.col("l_linenumber") % 3 == 0, "10 - 20 A").otherwise(F.format_string("from 10 - %d V", 10 + F.col("l_linenumber") * 5)).alias("observed"))
+    return quantity.compared(rows, "requested", "observed").select("l_orderkey", "l_linenumber", "fits")
+
+
+def audited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """criteria, requirements, missions, pages: each supplier is a mission with one candidate, audited on one shop's page.
+
+    Every second candidate's voltage is off by one; every third claims a quotation that its page doesn't have."""
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("mission_id"), "s_suppkey", "s_nationkey")
+    volt, seen, amp = (F.format_string(f, c.cast("int")) for f, c in (("%d V DC", F.col("s_nationkey") + 10), ("%d V DC", F.col("s_nationkey") + 10 + F.col("s_suppkey") % 2), ("%d A", F.col("s_nationkey") + 5)))
+    s = s.withColumns({"volt": volt, "seen": seen, "amp": amp, "reference": F.format_string("AB-%d", F.col("s_suppkey").cast("int") + 100_000), "url": F.format_string("https://shop%d.example/p/%d", (F.col("s_suppkey") % 7).cast("int"), F.col("s_suppkey").cast("int"))})
+    missions = s.select("mission_id", F.lit("Relay").alias("product"), F.lit("Zeta").alias("origin_brand"), F.lit("").alias("target_brand"), F.lit(60).alias("threshold"), F.lit(False).alias("strict"))
+    row = lambda n, i, label, value, critical: F.struct(F.lit(n).alias("ord"), F.lit(i).alias("requirement_id"), F.lit(label).alias("label"), value.alias("requested_value"), F.lit(critical).alias("critical"))
+    requirements = s.select("mission_id", F.explode(F.array(row(0, "volt", "Voltage", F.col("volt"), True), row(1, "curr", "Rated current", F.col("amp"), True), row(2, "prot", "Protection", F.lit("IP65"), False))).alias("r")).select("mission_id", "r.*")
+    pages = s.select("mission_id", F.lit(0).alias("page_ord"), "url", F.lit("").alias("title"), F.concat(F.lit("Acme "), "reference", F.lit(" relay. Voltage "), "seen", F.lit(". Rated current "), "amp", F.lit(". Protection IP65.")).alias("content"))
+    said = lambda n, i, value, observed, excerpt: F.struct(F.lit(n).alias("ord"), F.lit(i).alias("requirement_id"), value.alias("requested_value"), observed.alias("observed_value"), F.lit("proven").alias("status"), F.array(F.struct(F.col("url"), excerpt.alias("excerpt"), F.lit("web_secondaire").alias("type"))).alias("proofs"))
+    quoted = F.when(F.col("s_suppkey") % 3 == 0, "Protection class IP65").otherwise("Protection IP65")
+    each = F.array(said(0, "volt", F.col("volt"), F.col("seen"), F.concat(F.lit("Voltage "), "seen")), said(1, "curr", F.col("amp"), F.col("amp"), F.concat(F.lit("Rated current "), "amp")), said(2, "prot", F.lit("IP65"), F.lit("IP65"), quoted))
+    criteria = s.select("mission_id", F.lit("0/0").alias("candidate_id"), F.lit("Acme").alias("brand"), "reference", F.col("url").alias("page_url"), F.lit(0).alias("audit_ord"), F.explode(each).alias("k")).select("mission_id", "candidate_id", "brand", "reference", "page_url", "audit_ord", "k.*")
+    return criteria, requirements, missions, pages
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, id AS requirement_id, CASE id WHEN 'volt' THEN CASE WHEN s_suppkey % 2 = 0 THEN 'proven' ELSE 'incompatible' END WHEN 'prot' THEN CASE WHEN s_suppkey % 3 = 0 THEN 'not_proven' ELSE 'proven' END ELSE 'proven' END AS status,
+CAST(CASE WHEN id = 'prot' AND s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_proofs, id = 'prot' AND s_suppkey % 3 = 0 AS evidence_rejected FROM supplier, (SELECT unnest(['volt', 'curr', 'prot']) AS id)""")
+def proof_validation(spark: SparkSession, d: str) -> DataFrame:
+    criteria, requirements, _, pages = audited(spark, d)
+    return evidence.validate(criteria, requirements, pages).select("mission_id", "requirement_id", "status", F.size("proofs").alias("n_proofs"), "evidence_rejected")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, CAST(100 * p // 3 AS INTEGER) AS score, s_suppkey % 2 = 0 AND 100 * p // 3 >= 60 AS eligible, false AS complete, true AS identity_confirmed,
+CAST(s_suppkey % 2 AS INTEGER) AS n_incompatible, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_unverified FROM (SELECT s_suppkey, (1 - s_suppkey % 2) + 1 + CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS p FROM supplier)""")
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    criteria, requirements, missions, pages = audited(spark, d)
+    scored = evidence.evaluate(evidence.validate(criteria, requirements, pages), requirements, missions, pages)
+    return scored.select("mission_id", "score", "eligible", "complete", "identity_confirmed", F.size("incompatible_criteria").alias("n_incompatible"), F.size("unverified_criteria").alias("n_unverified"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, CASE WHEN s_suppkey % 2 = 0 THEN 'partial' ELSE 'rejected' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'candidate_selected' ELSE 'candidate_rejected' END AS final_state FROM supplier""")
+def mission_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    criteria, requirements, missions, pages = audited(spark, d)
+    scored = evidence.evaluate(evidence.validate(criteria, requirements, pages), requirements, missions, pages)
+    return evidence.mission_status(missions, scored)
+
+
+@query("""WITH c AS (SELECT s_suppkey, a, CASE a WHEN 0 THEN s_suppkey % 3 ELSE 2 * (s_suppkey % 2) END AS p FROM supplier, (SELECT unnest([0, 1]) AS a))
+SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, ['not_proven', 'incompatible', 'proven'][max(p) + 1] AS status, CAST(count(*) FILTER (p = m AND p > 0) AS INTEGER) AS n_proofs FROM (SELECT *, max(p) OVER (PARTITION BY s_suppkey) AS m FROM c) GROUP BY s_suppkey""")
+def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
+    """One criterion audited on two pages: the best status, with the proofs of that status."""
+    s = t(spark, d, "supplier").select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("audit_ord")).withColumn("p", F.when(F.col("audit_ord") == 0, F.col("s_suppkey") % 3).otherwise(2 * (F.col("s_suppkey") % 2)))
+    url = F.format_string("https://shop.example/%d/%d", F.col("s_suppkey").cast("int"), "audit_ord")
+    proofs = F.when(F.col("p") > 0, F.array(F.struct(url.alias("url"), F.lit("24 V DC").alias("excerpt"), F.lit("web_secondaire").alias("type")))).otherwise(F.array().cast(f"array<{evidence.PROOF}>"))
+    rows = s.select(F.col("s_suppkey").cast("string").alias("mission_id"), F.concat(F.col("audit_ord").cast("string"), F.lit("/0")).alias("candidate_id"), F.lit("Acme").alias("brand"), F.when(F.col("audit_ord") == 0, "AB-1").otherwise("ab 1").alias("reference"), url.alias("page_url"), "audit_ord", F.lit(0).alias("ord"), F.lit("volt").alias("requirement_id"), F.lit("24 V DC").alias("requested_value"), F.lit("24 V DC").alias("observed_value"), F.element_at(F.array(*map(F.lit, ("not_proven", "incompatible", "proven"))), (F.col("p") + 1).cast("int")).alias("status"), proofs.alias("proofs"), F.lit(None).cast("string").alias("contract_error"), F.lit(False).alias("evidence_rejected"))
+    return evidence.merge(rows).select("mission_id", "status", F.size("proofs").alias("n_proofs"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, id AS requirement_id, CASE WHEN id = 'volt' AND s_suppkey % 2 = 1 THEN 'not_proven' ELSE 'proven' END AS status, CASE WHEN id = 'volt' AND s_suppkey % 2 = 1 THEN 'downgraded' WHEN id = 'prot' THEN 'proven' ELSE 'enriched' END AS reaudited, CAST(CASE WHEN id = 'prot' THEN 1 WHEN id = 'volt' AND s_suppkey % 2 = 1 THEN 0 ELSE 2 END AS INTEGER) AS n_proofs FROM supplier, (SELECT unnest(['volt', 'curr', 'prot']) AS id)""")
+def second_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The maker's own page has everything as requested: it takes incompatibilities back, proves what is open, and confirms."""
+    from evidentia.operators import reaudit
+    from evidentia.operators.identity import Brands
+
+    criteria, requirements, missions, pages = audited(spark, d)
+    criteria = criteria.withColumn("status", F.when(F.col("requirement_id") == "prot", "not_proven").when((F.col("requirement_id") == "volt") & (F.col("observed_value") != F.col("requested_value")), "incompatible").otherwise(F.col("status")))
+    wanted = requirements.groupBy("mission_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label", "requested_value"))), lambda r: F.concat(r["label"], F.lit(" "), r["requested_value"])), ". ").alias("facts"))
+    own = criteria.select("mission_id", "reference").distinct().join(wanted, "mission_id").select("mission_id", F.lit(1).alias("page_ord"), F.concat(F.lit("https://www.acme.example/"), F.lower("reference")).alias("url"), F.lit("").alias("title"), F.concat(F.lit("Acme "), "reference", F.lit(" relay. "), "facts", F.lit(".")).alias("content"))
+    brands = Brands({frozenset(["acme"]): frozenset(["acme.example"])})
+    return reaudit.reaudit(criteria, requirements, missions, pages.unionByName(own), brands).select("mission_id", "requirement_id", "status", "reaudited", F.size("proofs").alias("n_proofs"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS mission_id, c_custkey % 4 < 3 AS near_miss, CASE c_custkey % 4 WHEN 2 THEN 'NEAR_MISS_UNVERIFIED_CRITERION:volt' WHEN 3 THEN 'NOT_ELIGIBLE_TOO_MANY_BLOCKERS' ELSE 'NEAR_MISS_BLOCKING_CRITERION:volt' END AS reason,
+CASE c_custkey % 4 WHEN 0 THEN 'ESTABLISHED' WHEN 1 THEN 'DIRECTIONAL' WHEN 2 THEN 'INCOMPLETE' END AS path, CAST([2, 1, 2, 0][c_custkey % 4 + 1] AS INTEGER) AS n_proven, CAST([1, 1, 0, 3][c_custkey % 4 + 1] AS INTEGER) AS n_blockers FROM customer""")
+def near_miss_paths(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import near_miss
+
+    return near_miss.assess(*rejected(spark, d)).select("mission_id", "near_miss", "reason", "path", "n_proven", "n_blockers")
+
+
+def rejected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluations and requirements: each customer a mission with a candidate that is rejected in one of four ways."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("mission_id"), (F.col("c_custkey") % 4).alias("w"), "c_custkey")
+    pick = lambda *ways: F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in ways]), (F.col("w") + 1).cast("int"))
+    rows = c.select("mission_id", F.lit("0/0").alias("candidate_id"), F.lit(False).alias("eligible"), F.format_string("AB-%d", F.col("c_custkey").cast("int")).alias("identity"), F.lit("").alias("family"), pick(("Poles", "Protection"), ("Poles",), ("Poles", "Protection"), ()).alias("proven_criteria"), pick(("Coil voltage",), ("Coil voltage",), (), ("Coil voltage", "Poles", "Protection")).alias("incompatible_criteria"), pick((), (), ("Coil voltage",), ()).alias("not_proven_criteria"), pick((), (), (), ()).alias("unverified_criteria"))
+    req = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(i).alias("requirement_id"), F.lit(label).alias("label"), F.lit(v).alias("requested_value")) for n, (i, label, v) in enumerate((("volt", "Coil voltage", "24 V DC"), ("pole", "Poles", "3"), ("prot", "Protection", "IP20")))])
+    return rows, c.select("mission_id", F.explode(req).alias("r")).select("mission_id", "r.*")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS mission_id, 'ab ' || c_custkey || '|volt|24 v dc' AS signature, 'volt' AS criterion, '24 V DC' AS target_value, 0 AS priority FROM customer WHERE c_custkey % 4 < 3""")
+def near_miss_tasks(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import near_miss
+
+    return near_miss.targeted_tasks(near_miss.assess(*rejected(spark, d))).select("mission_id", "signature", "criterion", "target_value", "priority")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS mission_id, event_type AS page_url, CAST(min(event_id % 4) AS INTEGER) AS wave FROM events GROUP BY ALL")
+def journal_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The first wave of entries that say the same."""
+    from evidentia.plans import replay
+
+    none, zero, no = F.array().cast("array<string>"), F.lit(0), F.lit(False)
+    lists = {c: none for c in ("proven_criteria", "not_proven_criteria", "incompatible_criteria", "critical_blockers", "unverified_criteria", "downgraded")}
+    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("mission_id"), F.col("event_type").alias("page_url"), (F.col("event_id") % 4).cast("int").alias("wave"), F.lit("Acme").alias("brand"), F.lit("AB-1").alias("reference"), zero.alias("score"), no.alias("eligible"), no.alias("complete"), zero.alias("official_proof_count"), zero.alias("proof_url_count"), F.lit(None).cast("string").alias("error"))
+    return replay.journal(e.withColumns(lists)).select("mission_id", "page_url", "wave")
+
+
+@query("""SELECT e.user_id || '#' || w.wave AS mission_id, count(*) AS n, max(event_id) AS last_event FROM (SELECT unnest([1, 2, 3, 4]) AS wave) w JOIN events e ON event_id % 4 + 1 <= w.wave GROUP BY 1""")
+def wave_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Everything up to each of four waves, counted anew."""
+    from evidentia.plans import replay
+
+    e = t(spark, d, "events").select(F.col("user_id").cast("string").alias("mission_id"), "event_id", (F.col("event_id") % 4 + 1).cast("int").alias("wave"))
+    waves = e.select("mission_id").distinct().withColumn("wave", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    return replay.by_wave(e, waves).groupBy("mission_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+
+
+@query("""SELECT c_custkey, '!' || ['aa', 'bb', 'cc'][c_custkey % 3 + 1] || ' ' || trim(regexp_replace(c_mktsegment || '  relay', '\s+', ' ', 'g')) AS query, array_to_string(['aa', 'bb', 'cc'][c_custkey % 3 + 1:] || ['aa', 'bb', 'cc'][:c_custkey % 3], ',') AS engines FROM customer""")
+def engine_rotation(spark: SparkSession, d: str) -> DataFrame:
+    order = hits.engine_sequence(["aa", "bb", "cc"], F.col("c_custkey"))
+    return t(spark, d, "customer").select("c_custkey", hits.bang_query(F.element_at(order, 1), F.concat(F.lit("!zz "), "c_mktsegment", F.lit("  relay"))).alias("query"), F.array_join(order, ",").alias("engines"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'invalid_status' WHEN page_id % 6 = 4 THEN 'unusable_status' WHEN page_id % 5 = 0 THEN 'pdf' WHEN length(html) < 2000 THEN 'empty_content' ELSE 'success' END AS outcome, page_id % 6 = 4 AS blocked FROM pages""")
+def response_classes(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.sources import tables
+
+    status = F.when(F.col("page_id") % 6 == 0, None).when(F.col("page_id") % 6 == 4, 403).otherwise(200)
+    kind = F.when(F.col("page_id") % 5 == 0, "Application/PDF; x=1").otherwise("text/html")
+    return t(spark, d, "pages").select("page_id", tables.classify_response(status, kind, F.lit("https://a.example/x"), F.length("html") - 1900).alias("outcome"), tables.is_blocked(status).alias("blocked"))
+
+
+@query(f"""WITH c AS {CANONICAL_SQL}, k AS (SELECT DISTINCT canonical FROM c WHERE page_id % 2 = 0) SELECT page_id, sha256(canonical) AS key, canonical IN (SELECT canonical FROM k) AS hit FROM c""")
+def page_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of even numbers are in the cache; which requests does it answer?"""
+    from evidentia.sources import tables
+
+    now = F.to_timestamp(F.lit("2026-01-02 00:00:00"))
+    p = t(spark, d, "pages").select("page_id", "url", F.lit("t").alias("title"), F.lit("text").alias("content"), F.lit("http").alias("mode"), F.lit(None).cast("array<string>").alias("warnings"))
+    hit, miss = tables.cached(p.select("page_id", "url"), tables.to_cache(p.filter("page_id % 2 = 0"), now), now, "1 DAY")
+    both = hit.select("page_id", "url", F.lit(True).alias("hit")).unionByName(miss.select("page_id", "url", F.lit(False).alias("hit")))
+    return both.select("page_id", tables.cache_key(F.col("url")).alias("key"), "hit")
+
+
+@query("""SELECT p_partkey, 'Brand: ' || p_brand || chr(10) || 'Reference: P-' || p_partkey || chr(10) || 'Product: ' || p_name || chr(10) || 'Size: ' || p_size AS datasheet, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_brand END AS sought FROM part""")
+def datasheets(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.sources import tables
+
+    p = t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.format_string("P-%d", F.col("p_partkey").cast("int")).alias("reference"), F.col("p_name").alias("name"), F.create_map(F.lit("Size"), F.col("p_size").cast("string"), F.lit("None"), F.lit(" ")).alias("characteristics"), F.lit(None).cast("string").alias("text"))
+    return tables.datasheet_text(p).select("p_partkey", "datasheet", tables.sought_brand(F.col("p_partkey") % 2 == 0, F.array(F.lit(" "), F.col("brand"))).alias("sought"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS mission_id, 'size' AS requirement_id, p_size || ' mm' AS requested_value, false AS critical FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'kind', p_type, true FROM part WHERE p_partkey % 5 <> 0""")
+def answered_requirements(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import payloads
+
+    return payloads.requirements_of(answers(spark, d))[0].select("mission_id", "requirement_id", "requested_value", "critical")
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Models' answers about parts: words around JSON, a blank item and a repeated id; every fifth is no JSON."""
+    item = lambda i, label, value, critical: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), value.alias("requested_value"), F.lit(critical).alias("critical"))
+    made = F.to_json(F.struct(F.array(item("size", "Size", F.format_string("%d mm", "p_size"), False), item("", "Blank", F.lit("x"), True), item("kind", "Type", F.col("p_type"), True), item("kind", "Again", F.col("p_name"), True)).alias("criteria")))
+    return t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mission_id"), F.when(F.col("p_partkey") % 5 == 0, "I can't tell.").otherwise(F.concat(F.lit("Here it is: "), made, F.lit(" as you asked."))).alias("answer"))
+
+
+@query("""SELECT path, issue, action, count(*) AS n FROM (SELECT unnest(CASE WHEN p_partkey % 5 = 0 THEN [('$', 'json_parse_error', 'aborted')] ELSE [('criteria[1].id', 'invalid_item', 'discarded'), ('criteria[3].id', 'invalid_item', 'discarded')] END) AS x, x[1] AS path, x[2] AS issue, x[3] AS action FROM part) GROUP BY ALL""")
+def answer_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import payloads
+
+    return payloads.requirements_of(answers(spark, d))[1].groupBy("path", "issue", "action").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, s_name AS brand, 'web_officiel' AS type, CAST(2 AS INTEGER) AS n_proofs FROM supplier""")
+def answered_audits(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import payloads
+
+    answer = F.concat(F.lit('{"candidates": [{"brand": "'), "s_name", F.lit('", "reference": "R-1", "criteria": [{"requirement_id": "a", "requested_value": "1", "status": "proven", "proofs": [{"url": "u", "excerpt": "e", "type": "Official"}, "quoted"]}, {"requirement_id": "b"}]}, 5]}'))
+    rows = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("mission_id"), F.lit(0).alias("audit_ord"), F.lit("https://a.example/").alias("page_url"), answer.alias("answer"))
+    return payloads.audits_of(rows)[0].select("mission_id", "brand", F.col("proofs")[0]["type"].alias("type"), F.size("proofs").alias("n_proofs"))
+
+
+@query("""SELECT event_id, event_id % 7 = 0 AS limited, event_id % 7 IN (0, 1, 2) AS temporary, CASE WHEN event_id % 6 > 3 THEN CASE event_id % 6 WHEN 4 THEN NULL ELSE 70.0 END WHEN event_id % 6 = 0 THEN 2.0 ELSE [1.0, 3.0, 8.0, 20.0][event_id % 6 + 1] END AS delay FROM events WHERE event_id % 6 < 5""")
+def provider_errors(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import payloads
+
+    n = F.col("event_id")
+    status = F.when(n % 7 == 0, 429).when(n % 7 == 1, 503).when(n % 7 == 3, 404)
+    e = t(spark, d, "events").filter(n % 6 < 5)
+    return e.select("event_id", payloads.is_limited(status, F.lit("X")).alias("limited"), payloads.is_temporary(status, F.when(n % 7 == 2, "APITimeoutError")).alias("temporary"), payloads.retry_delay((n % 6).cast("int"), F.when(n % 6 == 0, 2.0).when(n % 6 == 1, 90.0)).alias("delay"))
+
+
+@query("""WITH l AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank, n_nationkey % 3 AS sent FROM nation)
+SELECT CAST(n_regionkey AS VARCHAR) AS mission_id, 'ab1234' || n_nationkey AS reference_key, CAST(sent AS BIGINT) AS angles, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY sent, rank) AS INTEGER) AS turn FROM l WHERE sent < 2""")
+def targeted_leads(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import waves
+
+    n = t(spark, d, "nation")
+    leads = n.select(F.col("n_regionkey").cast("string").alias("mission_id"), F.lit("acme").alias("brand_key"), F.format_string("ab1234%d", F.col("n_nationkey").cast("int")).alias("reference_key"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("rank"), (F.col("n_nationkey") % 3).alias("n"))
+    return waves.targeted(leads.drop("n"), leads.filter("n > 0").select("mission_id", "brand_key", "reference_key", "n")).select("mission_id", "reference_key", "angles", "turn")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS mission_id, CAST(c_custkey % 5 + 1 AS INTEGER) AS wave, CAST(least(3, 12 - c_custkey % 14) AS INTEGER) AS queries, CAST(least(12, 36 - c_custkey % 40) AS INTEGER) AS pages FROM customer WHERE c_custkey % 5 < 4 AND c_custkey % 14 < 12 AND c_custkey % 40 < 36""")
+def wave_budgets(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import waves
+
+    part = lambda m: (F.col("c_custkey") % m).cast("int")
+    return waves.budgets(t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("mission_id"), part(5).alias("wave"), part(14).alias("queries"), part(40).alias("pages")))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS mission_id, CASE WHEN c_custkey % 2 = 0 THEN NULL WHEN c_custkey % 3 > 0 THEN 'NO_PROVABLE_CANDIDATE' WHEN c_custkey % 5 > 0 THEN 'PRODUCT_CONTENT_NOT_RETRIEVED' WHEN c_custkey % 7 > 0 THEN 'NO_VALIDATED_IDENTITY' ELSE 'NO_PAGE_RETRIEVED' END AS reason FROM customer""")
+def unresolved_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.plans import diagnostics
+
+    part = lambda m: (F.col("c_custkey") % m).cast("int")
+    rows = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("mission_id"), F.when(part(2) == 0, "complete").otherwise("not_resolved").alias("status"), part(3).alias("pages_analyzed"), part(5).alias("pages_rejected_by_gate"), part(7).alias("pages_not_ready_for_evidence"), (part(3) + part(5) + part(7)).alias("pages_fetched"))
+    return diagnostics.unresolved_reason(rows).select("mission_id", "reason")
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS mission_id, string_agg(n_nationkey || ':' || CASE WHEN n_nationkey % 2 = 0 THEN 'targeted' ELSE '' END || ':' || greatest(n_nationkey - 5, 0), ',' ORDER BY n_nationkey) AS waves FROM nation GROUP BY n_regionkey""")
+def wave_sections(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.plans import diagnostics
+
+    n = F.col("n_nationkey").cast("int")
+    rows = t(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("mission_id"), n.alias("wave_index"), F.when(n % 2 == 0, "targeted").otherwise("raw text").alias("mode"), (n - 5).alias("query_count"), n.alias("logical_queries_before"), n.alias("logical_queries_after"), F.lit(None).cast("array<string>").alias("task_types"))
+    shown = F.transform("waves", lambda w: F.concat_ws(":", w["wave_index"].cast("string"), w["mode"], w["query_count"].cast("string")))
+    return diagnostics.waves_section(rows).select("mission_id", F.array_join(shown, ",").alias("waves"))
+
+
+@query("""SELECT p_partkey, 'mpn' AS kind, 'P-' || p_partkey AS value, array_to_string(CASE WHEN p_partkey % 2 = 0 THEN ['title', 'content'] ELSE ['content'] END, ',') AS sources FROM part UNION ALL
+SELECT p_partkey, 'ean', lpad(CAST(p_partkey * 7919 + 400000000000 AS VARCHAR), 13, '0'), 'content' FROM part WHERE list_sum(list_transform(range(1, 14), lambda i: CAST(substr(lpad(CAST(p_partkey * 7919 + 400000000000 AS VARCHAR), 13, '0'), i, 1) AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0""")
+def extracted_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Part numbers and EANs that stand on a part's page; wrong check digits and other kinds fall out."""
+    n = F.col("p_partkey").cast("int")
+    mpn, ean = F.format_string("P-%d", n), F.lpad((F.col("p_partkey") * 7919 + 400000000000).cast("string"), 13, "0")
+    page = F.struct(F.format_string("https://a.example/%d", n).alias("url"), F.when(n % 2 == 0, F.concat(F.lit("Part "), mpn)).otherwise("Part").alias("title"), F.lit("").alias("snippet"), F.concat(F.lit("Number "), mpn, F.lit(", EAN "), ean).alias("content"))
+    said = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in ((" MPN", mpn), ("ean", ean), ("color", F.lit("red")), ("mpn", F.concat(F.lit(" "), mpn)), ("model", F.lit("absent")))])
+    rows = t(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("mission_id"), page.alias("document"), F.posexplode(said).alias("ord", "s")).select("p_partkey", "mission_id", "document", "ord", "s.*")
+    return identity.extract_identities(rows).select(F.col("mission_id").cast("bigint").alias("p_partkey"), "kind", "value", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""SELECT p_partkey, p_partkey % 2 = 0 AS review FROM part""")
+def unit_reviews(spark: SparkSession, d: str) -> DataFrame:
+    from evidentia.operators import coverage
+
+    rows = t(spark, d, "part").select("p_partkey", F.lit("Supply voltage").alias("label"), F.when(F.col("p_partkey") % 2 == 0, F.format_string("%d mm", "p_size")).otherwise(F.format_string("%d V", "p_size")).alias("requested_value"))
+    return coverage.unit_disagreements(rows).select("p_partkey", "review")
