@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,12 +35,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.runtime import cut, fold, new_folder, remove_folder
+from evidentia.llm.runtime import cut, economical, fold, new_folder, remove_folder
 from evidentia.llm.words import A, blocks, mix
 
 #: Tokens of a shard, about; tokens whose pairs are counted at once; a frequent word's share of a shard.
 SHARD_TOKENS, BLOCK_TOKENS, FREQUENT = 1_000_000, 3_000_000, 0.25
-SHARD_BITS = 14
 BEGIN, END = np.uint64(0x1234567 << 8), np.uint64(0x7654321 << 8)
 TOP = np.uint64(0xFFFFFFFFFFFFFF00)  # a word's key: the upper 56 bits of its hash
 
@@ -48,24 +48,26 @@ def put(uri: str, arrays: dict[str, np.ndarray]) -> None:
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path, recursive=True)
     for name, a in arrays.items():
-        with system.open_output_stream(f"{path}/{name}.part") as f:
+        mine = f"{path}/{name}.{uuid.uuid4().hex}"  # attempts of one task don't share a file
+        with system.open_output_stream(mine) as f:
             f.write(np.ascontiguousarray(a).data)
-        system.move(f"{path}/{name}.part", f"{path}/{name}")  # a repeated task writes the same bytes
+        system.move(mine, f"{path}/{name}")  # a repeated task writes the same bytes
 
 
 @lru_cache(maxsize=100_000)
 def mapped(uri: str, kind: str) -> np.ndarray:
-    """A file of the model as a memory-mapped array; from a remote store it is fetched once per worker."""
+    """A file of the model as a memory-mapped array; from a remote store it is fetched once per worker, into a file without
+    a name, which goes with the worker. A file that should be there and isn't is an error."""
     system, path = fs.FileSystem.from_uri(uri)
+    if system.get_file_info(path).type != fs.FileType.File:
+        raise FileNotFoundError(f"the model lacks {uri}; is its folder shared by all executors?")
     if not isinstance(system, fs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(), "array")
-        with system.open_input_stream(path) as source, open(local, "wb") as f:
+        with system.open_input_stream(path) as source, tempfile.TemporaryFile() as f:
             while chunk := source.read(1 << 24):
                 f.write(chunk)
-        path = local
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return np.zeros(0, kind)
-    return np.memmap(path, kind, "r")
+            f.flush()
+            return np.memmap(f, kind, "r") if f.tell() else np.zeros(0, kind)
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,8 @@ class Model:
 
     folder: str
     shards: int
+    with_pairs: frozenset[int]  # shards that have files of pairs, and of words; others are empty
+    with_words: frozenset[int]
     frequent: tuple[int, ...]  # sorted keys of words dealt by the next word too, and their back-off weights
     frequent_gaps: tuple[float, ...]
     tokens: int
@@ -106,11 +110,12 @@ def shard_of(before: np.ndarray, word: np.ndarray, shards: int, frequent: np.nda
     return (by % np.uint64(shards)).astype(np.int64)
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray, shard: np.ndarray) -> np.ndarray:
+def pair_keys(before: np.ndarray, word: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
     """A pair's key: its shard above, a hash below, so that keys of all shards in order are one sorted array."""
+    bits = max(1, (shards - 1).bit_length())
     with np.errstate(over="ignore"):
         h = mix(mix(before) * A + word)
-    return (shard.astype(np.uint64) << np.uint64(64 - SHARD_BITS)) | (h >> np.uint64(SHARD_BITS))
+    return (shard.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits))
 
 
 def runs(a: np.ndarray) -> np.ndarray:
@@ -164,7 +169,7 @@ def count_model(docs: DataFrame, trains: Column, *, shards: int | None = None) -
     spark = docs.sparkSession
     texts = docs.filter(trains).select("text")
     frequent, tokens = frequent_words(texts, shards)
-    n_shards = shards or max(4, min(1 << SHARD_BITS, tokens // SHARD_TOKENS))
+    n_shards = shards or max(4, tokens // SHARD_TOKENS)
     folder, often = new_folder(spark, "ngrams"), np.array(sorted(frequent), np.uint64)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +179,7 @@ def count_model(docs: DataFrame, trains: Column, *, shards: int | None = None) -
         def flush() -> pa.RecordBatch:
             before, word = (np.concatenate(x) for x in zip(*kept, strict=True))
             shard = shard_of(before, word, n_shards, often)
-            key = np.argsort(pair_keys(before, word, shard), kind="stable")
+            key = np.argsort(pair_keys(before, word, shard, n_shards), kind="stable")
             before, word, shard = before[key], word[key], shard[key]
             at = runs_of_pairs(before, word)
             count = np.diff(np.append(at, len(before)))
@@ -208,7 +213,8 @@ def count_model(docs: DataFrame, trains: Column, *, shards: int | None = None) -
         hot_rows = np.column_stack([before[at][hot].view(np.int64), total[hot], kinds[hot]]) if len(hot) else np.zeros((0, 5), np.int64)
         return pd.DataFrame({"shard": [key[0]], "pairs": [len(word)], "tokens": [int(count.sum())], "of": [of.tolist()], "hot": [hot_rows.ravel().tolist()]})
 
-    blobs = texts.mapInArrow(chunks, "shard int, blob binary")
+    economical(spark)
+    blobs = texts.mapInArrow(chunks, "shard int, blob binary").repartition(n_shards, "shard")  # a task a shard, about
     sums = cut(blobs.groupBy("shard").applyInPandas(merge, "shard int, pairs bigint, tokens bigint, of array<bigint>, hot array<bigint>"))
     found = sums.select(F.sum("pairs").alias("pairs"), F.sum("tokens").alias("tokens"), *[F.sum(F.col("of")[k]).alias(f"n{k}") for k in range(4)]).first()
     # a frequent previous word's totals lie in many shards: at most 4 / FREQUENT * shards words, each summed by Spark
@@ -229,7 +235,7 @@ def count_model(docs: DataFrame, trains: Column, *, shards: int | None = None) -
                     total[k], kinds[k] = (t := totals[int(heads[k].view(np.int64))])[0], t[1:]
                 spread = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(before))))
                 p = (count - np.array([0.0, *d])[np.minimum(count, 3)]) / total[spread]
-                keys = pair_keys(before, word, np.full(len(word), s))
+                keys = pair_keys(before, word, np.full(len(word), s), n_shards)
                 order = np.argsort(keys)
                 put(f"{folder}/pairs/{s}", {"key": keys[order], "p": p[order].astype(np.float32), "head": heads, "gap": (kinds @ np.array(d) / total).astype(np.float32)})
                 order = np.argsort(word, kind="stable")
@@ -248,9 +254,10 @@ def count_model(docs: DataFrame, trains: Column, *, shards: int | None = None) -
         at = runs(word[order])
         numbers = np.add.reduceat(numbers[order], at, axis=0)
         put(f"{folder}/words/{key[0]}", {"key": word[order][at], "different": numbers[:, 0], "count": numbers[:, 1]})
-        return pd.DataFrame({"words": [len(at)], "different": [int(numbers[:, 0].sum())], "of": [[int(np.sum(numbers[:, 0] == k)) for k in range(1, 5)] + [len(at)]]})
+        return pd.DataFrame({"shard": [key[0]], "words": [len(at)], "different": [int(numbers[:, 0].sum())], "of": [[int(np.sum(numbers[:, 0] == k)) for k in range(1, 5)] + [len(at)]]})
 
-    words = sums.select("shard").repartition(max(1, min(n_shards, 2 * spark.sparkContext.defaultParallelism)), "shard").mapInArrow(finish, "shard int, words binary, numbers binary").groupBy("shard").applyInPandas(unigrams, "words bigint, different bigint, of array<bigint>")
+    words = sums.select("shard").repartition(max(1, min(n_shards, 2 * spark.sparkContext.defaultParallelism)), "shard").mapInArrow(finish, "shard int, words binary, numbers binary").groupBy("shard").applyInPandas(unigrams, "shard int, words bigint, different bigint, of array<bigint>")
+    words = cut(words)
     w = words.select(F.sum("words").alias("words"), F.sum("different").alias("different"), *[F.sum(F.col("of")[k]).alias(f"n{k}") for k in range(4)]).first()
     n = [w[f"n{k}"] or 0 for k in range(4)]
     e = discounts(n)
@@ -259,7 +266,8 @@ def count_model(docs: DataFrame, trains: Column, *, shards: int | None = None) -
     remove_folder(spark, f"{folder}/raw")
     mine = [totals.get(int(x)) for x in often.view(np.int64)]
     gaps = tuple(sum(a * b for a, b in zip(d, t[1:], strict=True)) / t[0] if t else 0.0 for t in mine)
-    return Model(folder, n_shards, tuple(int(x) for x in often), gaps, found["tokens"] or 0, v, found["pairs"] or 0, different, tuple(e), float(gap))
+    ids = lambda df: frozenset(r["shard"] for r in df.select("shard").collect())
+    return Model(folder, n_shards, ids(sums), ids(words), tuple(int(x) for x in often), gaps, found["tokens"] or 0, v, found["pairs"] or 0, different, tuple(e), float(gap))
 
 
 def context_sums(before: np.ndarray, count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +295,7 @@ def frequent_words(texts: DataFrame, shards: int | None) -> tuple[list[int], int
     sums = texts.mapInArrow(run, "key bigint, n bigint, total boolean").groupBy("key", "total").agg(F.sum("n").alias("n"))
     sums = cut(sums)
     tokens = sums.filter("total").agg(F.sum("n")).first()[0] or 0
-    n_shards = shards or max(4, min(1 << SHARD_BITS, tokens // SHARD_TOKENS))
+    n_shards = shards or max(4, tokens // SHARD_TOKENS)
     rows = sums.filter(~F.col("total") & (F.col("n") >= FREQUENT * tokens / n_shards)).select("key").collect()  # n_shards / FREQUENT rows at most
     return [int(np.int64(r["key"]).view(np.uint64)) for r in rows], tokens
 
@@ -304,10 +312,10 @@ class Scorer:
         edges = np.searchsorted(shard, np.arange(self.m.shards + 1))
         out = [np.zeros(len(keys)) for _ in columns]
         for s in np.flatnonzero(np.diff(edges)):
+            if int(s) not in (self.m.with_pairs if part == "pairs" else self.m.with_words):
+                continue
             part_of = slice(edges[s], edges[s + 1])
             have = mapped(f"{self.m.folder}/{part}/{s}/{name}", "<u8")
-            if not len(have):
-                continue
             at = np.minimum(np.searchsorted(have, wanted[part_of]), len(have) - 1)
             hit = have[at] == wanted[part_of]
             for o, (column, kind) in zip(out, columns, strict=True):
@@ -334,7 +342,7 @@ class Scorer:
         which = np.empty(len(before), np.int64)
         which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(before))))
         g = gap[which]
-        hit = self.look_up(pair_keys(before, word, shard), shard, "pairs", "key", (("p", "<f4"),))[0]
+        hit = self.look_up(pair_keys(before, word, shard, m.shards), shard, "pairs", "key", (("p", "<f4"),))[0]
         prob = np.where(g > 0, hit + g * p1, p1)
         logs = (np.log10((c + 1) / (m.tokens + m.words + 1)), np.log10(prob))
         at = begin[:-1]
