@@ -5,14 +5,14 @@ position and ignores the others, so a substituted word at an ignored place doesn
 documents and of benchmark items with equal hashes are hits; hits with one difference of positions are one diagonal of
 (document, item). Around the hits of a diagonal all words are compared: it is an overlap if WINDOW words of the item have
 at most MISSES substitutions, or if at least SHARE of the item's words are equal. The masks find every window of 13 words
-with two substitutions and every one of 15 with three; SHORT_MASKS complete items of up to SHORT_ITEM words, so no such
-overlap is lost.
+with two substitutions and every one of 15 with three; SHORT_MASKS complete items of up to SHORT_ITEM words and
+PAIR_MASKS those of two, so no such overlap is lost.
 
 The item side is small; while it has at most BROADCAST_ROWS positions it is broadcast, beyond it the joins are shuffled.
 Documents' words are hashed and compared in place and never shuffled on the broadcast path; only documents on a diagonal
 are read again for the comparison. A passage that very many documents share makes one row for each of them.
 
-Defined results: null texts have no words; items with fewer than five words match nothing. The result has one row per
+Defined results: null texts have no words; items with fewer than two words match nothing. The result has one row per
 (doc_id, item_id): the diagonal with most equal words, the first of ties. Repeated rows give one row, as do rows of one
 doc_id and equal text; null doc_ids or item_ids are kept as null. Further columns are ignored. An empty table gives no rows.
 """
@@ -29,6 +29,8 @@ from evidentia.llm.runtime import cut, small
 MASKS = ("11111", "111011", "110111")
 #: Further masks for items of up to SHORT_ITEM words, which have too few places for the others.
 SHORT_MASKS, SHORT_ITEM = ("1111", "11011", "111"), 11
+#: For items of two words, the fewest that an item has; of up to four words all must be equal.
+PAIR_MASKS, LEAST_ITEM = ("11",), 2
 WINDOW, MISSES, SHARE = 13, 2, 0.8
 SPAN = max(map(len, MASKS))
 
@@ -60,18 +62,18 @@ def seeds(rows: DataFrame, *keep: str, masks: tuple[str, ...] = MASKS) -> DataFr
 def diagonals(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, shift (document position less item position) of all hits, distinct."""
     item_at = cut(positions(items.withColumn("n", F.size("words")), "item_id", "n"))
-    short = item_at.filter(F.col("n") <= SHORT_ITEM)
+    short, pair = item_at.filter(F.col("n") <= SHORT_ITEM), item_at.filter(F.col("n") == LEAST_ITEM)
     pairs = small(cut(item_at.select(F.xxhash64("w0", "w1").alias("pair")).distinct()))
-    item_seeds = small(cut(seeds(item_at, "item_id").union(seeds(short, "item_id", masks=SHORT_MASKS)).select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()))
+    item_seeds = small(cut(seeds(item_at, "item_id").union(seeds(short, "item_id", masks=SHORT_MASKS)).union(seeds(pair, "item_id", masks=PAIR_MASKS)).select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()))
     doc_at = positions(docs.select("doc_id", words("text").alias("words")), "doc_id").withColumn("pair", F.xxhash64("w0", "w1"))
     begun = doc_at.join(pairs, "pair", "left_semi")
-    masks = MASKS if short.isEmpty() else MASKS + SHORT_MASKS
+    masks = MASKS + (() if short.isEmpty() else SHORT_MASKS) + (() if pair.isEmpty() else PAIR_MASKS)
     return seeds(begun, "doc_id", masks=masks).join(item_seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_start, n_tokens (of the item), n_matched, window_matched of each overlap."""
-    items = cut(benchmark.select(F.col("item_id"), F.filter(words("text"), lambda w: w != "").alias("words")).filter(F.size("words") >= min(map(len, MASKS))).distinct())
+    items = cut(benchmark.select(F.col("item_id"), F.filter(words("text"), lambda w: w != "").alias("words")).filter(F.size("words") >= LEAST_ITEM).distinct())
     docs = docs.select("doc_id", "text")
     found = cut(diagonals(docs, items))
     suspects = small(cut(found.select("doc_id").distinct()))
@@ -107,7 +109,7 @@ p AS (SELECT doc_id, item_id, n, d.pos - b.pos AS shift, b.pos AS pos FROM d JOI
 c AS (SELECT *, count(*) OVER g AS n_matched, count(*) OVER (g ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ahead
       FROM p WINDOW g AS (PARTITION BY doc_id, item_id, shift) QUALIFY n_matched >= least(11, ceil(n * 0.8))),
 s AS (SELECT doc_id, item_id, shift, n, n_matched, max(ahead) AS window_matched FROM c GROUP BY ALL),
-k AS (SELECT * FROM s WHERE n >= 5 AND (n_matched >= ceil(n * 0.8) OR n >= 13 AND window_matched >= 11)
+k AS (SELECT * FROM s WHERE n >= 2 AND (n_matched >= ceil(n * 0.8) OR n >= 13 AND window_matched >= 11)
       QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, shift) = 1)
 SELECT doc_id, item_id, greatest(shift, 0) AS doc_start, CAST(n AS BIGINT) AS n_tokens, n_matched, window_matched FROM k
 """

@@ -9,7 +9,7 @@ from evidentia.llm import decontaminate
 
 
 def test_all_substitutions_of_short_items(spark):
-    items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(5, 13)}
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(2, 13)}
     docs, want = [], set()
     for n, words in items.items():
         for d in range(n - math.ceil(n * decontaminate.SHARE) + 1):
