@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.llm.runtime import cut, small
+from evidentia.llm.runtime import cut, free_name, small
 
 #: Fixed masks: 1 compares a word, 0 ignores it. All begin with two words compared, which a cheap join checks first.
 MASKS = ("11111", "111011", "110111")
@@ -95,9 +95,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, without those that have an overlap."""
-    bad = cut(overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(small(bad), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of `docs`, all columns, without those whose text has an overlap. Rows are told by their texts' 64-bit hash, so
+    a null or repeated doc_id drops no other row."""
+    text, own = F.xxhash64(F.coalesce(docs["text"], F.lit(""))), free_name(docs, "text_hash")
+    bad = cut(overlaps(docs.select(text.alias("doc_id"), docs["text"]), benchmark).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(small(bad), text == F.col(own), "left_anti")
 
 
 ORACLE_SQL = r"""
