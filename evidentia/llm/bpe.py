@@ -17,7 +17,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -25,12 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from evidentia.llm.runtime import map_arrow
+from evidentia.llm.runtime import broadcast_value, map_arrow
 
 #: White-space separated chunks whose encodings a worker keeps.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Neighbour checks that a worker keeps.
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -188,16 +187,11 @@ class WordBPE:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> WordBPE:
-    return WordBPE(path)
-
-
 def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and with `keep_ids` the ids and the decoded text.
 
     `path` names the vocabulary file, which the driver reads and broadcasts. One narrow pass; no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(load(path))  # a vocabulary, which doesn't grow with the data
+    model = broadcast_value(docs.sparkSession, lambda: WordBPE(path))  # a vocabulary, which doesn't grow with the data
     chunk = 2_000_000  # characters at a time, so that a batch of very long texts needs bounded memory
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.llm.runtime import fold, map_arrow
+from evidentia.llm.runtime import broadcast_value, fold, map_arrow
 
 #: The training sample's bounds, which hold on any corpus: rows per language, characters up to which rows are alike in
 #: rank, and characters per language and of all languages beyond which no further row is taken.
-SAMPLE_DOCS, PLAIN, SAMPLE_CHARS, ALL_CHARS = 100, 2_000, 24_000, 1_000_000
+SAMPLE_DOCS, PLAIN, SAMPLE_CHARS, ALL_CHARS = 100, 2_000, 20_000, 1_000_000
 #: Codes after which a phrase ends anyway.
 PIECE = 1_024
 UNKNOWN = "und"
@@ -111,17 +111,17 @@ class CrossParser:
         for p in points:
             codes = self.squeeze(p)
             step = automaton(codes.tolist())
-            table = np.full((len(step), self.width), -1, np.int64)
+            table = np.full((len(step), self.width), -1, np.int32)
             for state, row in enumerate(step):
                 table[state, list(row)] = list(row.values())
             again, lacks = np.maximum(table[0], 0), table[0] < 0  # a letter that the sample lacks is a phrase of its own
-            ended = 1 + (lacks & (np.arange(len(step)) > 0)[:, None])
-            table = np.where(table < 0, 4 * (base + again) + ended, 4 * (base + table))
+            ended = 1 + (lacks & (np.arange(len(step)) > 0)[:, None]).astype(np.int32)
+            table = np.where(table < 0, 4 * (base + again) + ended, 4 * (base + table)).astype(np.int32)
             self.roots.append(base)
             parts.append(table)
             base += len(step)
             bits.append(np.log2(len(codes) + 1))
-        self.table = np.concatenate(parts).astype(np.int32).ravel() if parts else np.zeros(0, np.int32)
+        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
         self.bits = np.array(bits)
 
     def squeeze(self, points: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def predict_whole(parsed: CrossParser, texts: list[str], chunk: int = 2_000_000)
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """doc_id, held_out, lang_pred, score; `texts` is a sample() per language. One narrow pass."""
-    model = docs.sparkSession.sparkContext.broadcast(CrossParser(tuple(texts.items())))  # bounded as the sample is
+    model = broadcast_value(docs.sparkSession, lambda: CrossParser(tuple(texts.items())))  # bounded as the sample is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
 def accept(docs: DataFrame, texts: dict[str, str], least: float = 0.0) -> DataFrame:
     """The rows of `docs`, all columns, whose language is known with a score of `least` or more."""
-    model, at = docs.sparkSession.sparkContext.broadcast(CrossParser(tuple(texts.items()))), docs.columns.index("text")
+    model, at = broadcast_value(docs.sparkSession, lambda: CrossParser(tuple(texts.items()))), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

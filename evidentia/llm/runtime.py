@@ -104,9 +104,21 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def broadcast_value(spark: SparkSession, make: Callable[[], object]):
+    """A value of bounded size that is made once, on the driver, which keeps nothing of it but the broadcast file."""
+    out = spark.sparkContext.broadcast(make())
+    give_back()
+    return out
