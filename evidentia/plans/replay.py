@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import dataclasses
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class Replay:
     tasks: DataFrame
     queries: DataFrame
     results: DataFrame  # mission_id, status, final_state, waves
+    refused: DataFrame | None = None  # mission_id, problem of corpora that aren't sound
 
 
 def by_wave(rows: DataFrame, waves: DataFrame) -> DataFrame:
@@ -90,6 +92,13 @@ def replay_tables(spark: SparkSession, corpora: dict[str, dict[str, str]], brand
 
 
 def checked_replay(corpus: Corpus, brands: Brands) -> Replay:
-    if bad := corpus.problems.collect():
-        raise ValueError("; ".join(f"{r['mission_id']}: {r['problem']}" for r in bad))
-    return replay(corpus, brands)
+    """The replay of the sound missions, with what is wrong with the others in `refused`. If none is sound, that is an error."""
+    bad = cut(corpus.problems)
+    if bad.isEmpty():
+        return replay(corpus, brands)
+    names = bad.select("mission_id").distinct()
+    sound = lambda rows: rows.join(names, "mission_id", "left_anti")
+    if sound(corpus.missions).isEmpty():
+        raise ValueError("; ".join(f"{r['mission_id']}: {r['problem']}" for r in bad.limit(20).collect()))
+    kept = {f.name: sound(getattr(corpus, f.name)) for f in fields(corpus) if f.name != "problems"}
+    return dataclasses.replace(replay(Corpus(**kept, problems=bad.limit(0)), brands), refused=bad)

@@ -26,7 +26,7 @@ FILES = ("requirements", "audits", "pages", "manifest")
 
 
 def load(spark: SparkSession, folders: list[str]) -> Corpus:
-    """Corpora of folders; a folder is a mission, named by its last part. Broken JSON fails the read."""
+    """Corpora of folders; a folder is a mission, named by its last part. A mission with broken JSON is a problem of its own."""
 
     def texts(name: str) -> DataFrame:
         rows = spark.read.text([f"{f.rstrip('/')}/{name}.json" for f in folders], wholetext=True)
@@ -44,7 +44,13 @@ def parse(texts: dict[str, DataFrame]) -> Corpus:
     """`texts`: by file name a table of mission_id and value."""
 
     def rows(name: str, schema: str) -> DataFrame:
-        return texts[name].select("mission_id", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("v"))
+        whole = texts[name].filter(F.try_parse_json("value").isNotNull())
+        return whole.select("mission_id", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("v"))
+
+    broken = None
+    for name in FILES:
+        lost = texts[name].filter(F.try_parse_json("value").isNull()).select("mission_id", F.lit(f"{name}: broken JSON").alias("problem"))
+        broken = lost if broken is None else broken.unionByName(lost)
 
     req = rows("requirements", f"struct<{typed(schemas.REQUIREMENTS_JSON)}>").select("mission_id", "v.*")
     man = rows("manifest", f"struct<{typed(schemas.MANIFEST_JSON)}>").select("mission_id", "v.*")
@@ -62,7 +68,7 @@ def parse(texts: dict[str, DataFrame]) -> Corpus:
     remarks = said("deviation", "c.deviations").unionByName(said("limitation", "c.limitations"))
     page_waves = man.select("mission_id", F.explode("page_waves").alias("url", "wave"))
     waves = man.select("mission_id", F.explode("waves").alias("w")).select("mission_id", "w.*")
-    return Corpus(missions, requirements, criteria, remarks, pages.join(page_waves, ["mission_id", "url"], "left"), waves, problems(man, audits, one, pages, page_waves, requirements, criteria, waves))
+    return Corpus(missions, requirements, criteria, remarks, pages.join(page_waves, ["mission_id", "url"], "left"), waves, broken.unionByName(problems(man, audits, one, pages, page_waves, requirements, criteria, waves)))
 
 
 def typed(columns: str) -> str:

@@ -77,3 +77,11 @@ def test_command_line(spark, tmp_path):
     brands.write_text(json.dumps(demo.BRANDS))
     assert main(["--corpus", demo.write(tmp_path / "m9"), "--brands", str(brands), "--output", str(tmp_path / "out")]) == 0
     assert json.loads((tmp_path / "out" / "m9.json").read_text())["status"] == "complete" and "Amaro" in (tmp_path / "out" / "m9.md").read_text()
+
+
+def test_a_broken_mission_does_not_stop_the_others(spark, tmp_path):
+    folders = [demo.write(tmp_path / "good"), demo.write(tmp_path / "bad")]
+    (tmp_path / "bad" / "audits.json").write_text('[{"page_url": ')
+    run = replay_folders(spark, folders, BRANDS)
+    assert {r["mission_id"] for r in run.results.collect()} == {"good"}
+    assert ("bad", "audits: broken JSON") in {tuple(r) for r in run.refused.collect()}
