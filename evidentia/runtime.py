@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir (a temporary folder where that is unset, as in tests); later steps read it."""
+    """A checkpoint in spark.checkpoint.dir (a temporary folder where that is unset, in local mode only); later steps read it."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidentia-"))
     return df.checkpoint()
