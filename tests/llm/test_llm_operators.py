@@ -284,3 +284,44 @@ def test_chat_layouts_and_clashing_columns(spark):
     found = {r["conv_id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in made.collect()}
     assert {layout for layout, _ in found.values()} == {*chat.EXCHANGES, "messages", "conversations"}
     assert all(said == [(r, t) for m, _, r, t in turns if m == n] for n, (_, said) in found.items())
+
+
+def test_languages_in_pieces_and_ties():
+    """Phrases by definition, a new one at each piece; equal samples go to the language that sorts first."""
+    rng = random.Random(4)
+    texts = {lang: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)) for lang, letters in (("xa", "abcdeé"), ("xb", "efghß"))}
+    parsed = langid.CrossParser(tuple(texts.items()))
+    long = " ".join([*texts["xb"].split()[::-1], "zz9"] * 12)
+    codes = parsed.squeeze(langid.code_points(long)).tolist()
+    assert len(codes) > 2 * langid.PIECE
+    bits, known = parsed.entropy([long, "a", ""])
+    for n, sample in enumerate(texts.values()):
+        whole, phrases = parsed.squeeze(langid.code_points(sample)).tolist(), 0
+        held = {tuple(whole[i : i + k]) for i in range(len(whole)) for k in range(1, 12)}
+        for at in range(0, len(codes), langid.PIECE):
+            now, phrases = (), phrases + 1
+            for c in codes[at : at + langid.PIECE]:
+                if (*now, c) in held:
+                    now = (*now, c)
+                elif (c,) in held:
+                    now, phrases = (c,), phrases + 1
+                else:
+                    phrases, now = phrases + (2 if now else 1), ()
+        assert bits[0, n] == pytest.approx(phrases * np.log2(len(whole) + 1) / len(codes))
+    assert known.tolist() == [True, True, False] and parsed.predict([long])[0][0] == "xb"
+    same = langid.CrossParser((("a", "same words here"), ("b", "same words here")))
+    assert same.predict(["same words"])[0] == ("a", 0.5)
+
+
+def test_language_samples_are_whole_rows(spark):
+    rows = [(k, f"text {k} " + "word " * 700, "long") for k in range(5)] + [(9, "x " * 6_000, "longer"), (10, "y", None), (11, None, "none")] * 3
+    got = langid.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert set(got) == {"long", "longer"} and got["longer"] == "x " * 6_000
+    assert all(got["long"].count(t) == (1 if t in got["long"] else 0) for _, t, lang in rows if lang == "long") and len(got["long"]) <= langid.SAMPLE_CHARS + 10
+
+
+def test_a_lost_model_file_is_an_error(spark, tmp_path):
+    from evidentia.llm import lm
+
+    with pytest.raises(FileNotFoundError):
+        lm.mapped(f"file://{tmp_path}/gone", "<u8")
