@@ -33,6 +33,8 @@ SHORT_MASKS, SHORT_ITEM = ("1111", "11011", "111"), 11
 PAIR_MASKS, LEAST_ITEM = ("11",), 2
 WINDOW, MISSES, SHARE = 13, 2, 0.8
 SPAN = max(map(len, MASKS))
+#: The most words of all items that are broadcast.
+BROADCAST_WORDS = 2_000_000
 
 
 def words(column: str) -> Column:
@@ -79,7 +81,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     suspects = small(cut(found.select("doc_id").distinct()))
     texts = docs.join(suspects, docs["doc_id"].eqNullSafe(suspects["doc_id"]), "left_semi").select("doc_id", words("text").alias("doc_words")).distinct()
     side = found.withColumnRenamed("doc_id", "d").withColumnRenamed("item_id", "i")
-    both = texts.join(small(side), F.col("doc_id").eqNullSafe(F.col("d"))).join(small(items), F.col("item_id").eqNullSafe(F.col("i")))
+    both = texts.join(small(side), F.col("doc_id").eqNullSafe(F.col("d"))).join(small(items, BROADCAST_WORDS, F.size("words")), F.col("item_id").eqNullSafe(F.col("i")))
     shift, n = F.col("shift"), F.size("words")
     doc_part = F.slice("doc_words", F.greatest(shift, F.lit(0)) + 1, n)
     item_part = F.slice("words", F.greatest(-shift, F.lit(0)) + 1, n)

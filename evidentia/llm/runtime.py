@@ -74,9 +74,13 @@ def cut_few(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows (counted here), else as it is. Give it materialised rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows (counted here), else as it is. Give it materialised rows.
+
+    `weight` counts the values of a row that holds arrays; then their sum is bounded."""
+    if weight is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(weight + 1)).first()[0] or 0) <= rows else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -11,8 +11,8 @@ capacity between the bounds are summed again by a longer prefix, until those are
 the driver 16**DIGITS sums at most. The t-th cut lies in a stretch of at most about 2 * t + 2 ranges, so a further round
 brings it about n_shards**2 * 16**MORE_DIGITS sums at most, whatever the number of groups.
 
-Slots number the rows of a shard without gaps. Rows are numbered within (shard, hash of doc_id) cells, and a cell starts
-where the rows of the cells before it end; cells don't follow texts, so a group of copies of any size is spread out.
+Slots number the rows of a shard without gaps. Rows are numbered within (shard, hash of doc_id and text) cells, and a cell
+starts where the rows of the cells before it end; so neither a group of copies nor the rows of one doc_id fill a cell.
 
 Defined results: a null text has size 1 and the digest of the empty text, so it shares a group with empty texts. Repeated
 rows each get a slot. An empty table gives no rows. Further columns are ignored. Ties of equal sizes need no rule: a
@@ -135,7 +135,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     groups = rows.select("digest", "size")
     cuts = find_cuts(groups, n_shards)
     n_cells = max(8, min(MOST_CELLS, rows.count() // (CELL_ROWS * n_shards)))
-    placed = rows.withColumn("shard", shard_of(F.col("digest"), cuts)).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(n_cells)).cast("int"))
+    placed = rows.withColumn("shard", shard_of(F.col("digest"), cuts)).withColumn("cell", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n_cells)).cast("int"))
     cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))  # n_shards * n_cells rows at most
     order = Window.partitionBy("shard").orderBy("cell")
     first = cells.select("shard", "cell", (F.sum("n").over(order) - F.col("n")).alias("first"))
