@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontaminate
+from evidentia.llm import decontaminate, divergence
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,5 +111,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_html_text": op2_html_text, "op3_sharding": op3_sharding, "op4_chroma": op4_chroma, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_chat": OP8_SQL}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_html_text": op2_html_text, "op3_sharding": op3_sharding, "op4_chroma": op4_chroma, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality, "op11_divergence": op11_divergence}
+ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_chat": OP8_SQL, "op11_divergence": divergence.ORACLE_SQL}
