@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontaminate, divergence
+from evidentia.llm import collocations, decontaminate, divergence
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,5 +121,9 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_html_text": op2_html_text, "op3_sharding": op3_sharding, "op4_chroma": op4_chroma, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality, "op11_divergence": op11_divergence, "op12_simhash": op12_simhash}
-ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_chat": OP8_SQL, "op11_divergence": divergence.ORACLE_SQL}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_html_text": op2_html_text, "op3_sharding": op3_sharding, "op4_chroma": op4_chroma, "op5_ngram_lm": op5_ngram_lm, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_bpe": op9_bpe, "op10_quality": op10_quality, "op11_divergence": op11_divergence, "op12_simhash": op12_simhash, "op13_collocations": op13_collocations}
+ORACLES: dict[str, str] = {"op7_decontamination": decontaminate.ORACLE_SQL, "op8_chat": OP8_SQL, "op11_divergence": divergence.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
