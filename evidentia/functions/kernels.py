@@ -41,6 +41,10 @@ def identity(text: str | None) -> str:
     return unicodedata.normalize("NFKC", unquote(text or "")).casefold()
 
 
+def unicode_form(text: str | None) -> str:
+    return unicodedata.normalize("NFKC", text or "")
+
+
 def identity_key(text: str | None) -> str:
     return "".join(c for c in identity(text) if c.isalnum())
 

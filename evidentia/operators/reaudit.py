@@ -18,6 +18,7 @@ from evidentia.functions import quantity, scan
 from evidentia.functions.urls import canonical, canonical_url, is_list_page
 from evidentia.operators import evidence
 from evidentia.operators.identity import Brands, applicable, official_page, page_names, primary_content
+from evidentia.operators.matching import meetings
 from evidentia.runtime import cut
 
 # Characters of windows before and behind an identity, of merged windows and of official ones; and how many.
@@ -217,16 +218,22 @@ def candidate_aliases(criteria: DataFrame, requirements: DataFrame, pages: DataF
 
 
 def identity_pages(people: DataFrame, pages: DataFrame, brands: Brands) -> DataFrame:
-    """Candidates with each page of their mission that states their identity: url, content, page_ord, official, shown (its windows)."""
-    key = k.udf(k.identity_key, "string")
-    known = people.withColumn("keys", F.transform(F.array_append("aliases", F.col("reference")), lambda a: F.regexp_replace(F.lower(a), "[^a-z0-9]", ""))).withColumn("reference_key", key("reference"))
-    keyed = pages.filter((F.col("content") != "") & ~is_list_page(F.col("url"))).withColumn("page_key", key("content")).withColumn("ascii_key", F.regexp_replace(F.lower("content"), "[^a-z0-9]", ""))
-    # a page that states an identity has its letters and digits in a row; what is left out here can't state it
-    pairs = keyed.join(known, "mission_id").filter(F.contains("page_key", F.col("reference_key")) | F.exists("keys", lambda a: F.contains(F.col("ascii_key"), a)))
-    official = k.udf(lambda b, r, u, c: official_page(brands, b, r, u, c), "boolean")
-    states = k.udf(lambda b, r, c, a: page_names(b, r, c, tuple(x for x in a if len(k.plain_key(x)) >= 8)), "boolean")
-    pairs = pairs.withColumn("official", official("brand", "reference", "url", "content")).withColumn("states", states("brand", "reference", "content", "aliases")).drop("page_key", "ascii_key", "keys", "reference_key")
-    return pairs.withColumn("shown", F.when(F.col("states"), k.udf(windows, "array<string>")("content", "reference", "brand", "aliases", "official")))
+    """mission_id, candidate_id, url, page_ord, official, shown: pages that may state a candidate's identity, and the windows of those that do."""
+    texts = pages.filter((F.col("content") != "") & ~is_list_page(F.col("url"))).select("mission_id", "url", "content", "page_ord")
+    near = meetings(people.withColumn("names", F.array_append("aliases", F.col("reference"))), texts, "candidate_id")
+    named = near.join(people, ["mission_id", "candidate_id"]).groupBy("mission_id", "url").agg(F.collect_list(F.struct("candidate_id", "brand", "reference", "aliases")).alias("near"))
+
+    def read(url: str, content: str, near: list) -> list[dict]:
+        """What a page says of each candidate that it may state."""
+        out = []
+        for n in near:
+            official = official_page(brands, n["brand"], n["reference"], url, content)
+            states = page_names(n["brand"], n["reference"], content, tuple(x for x in n["aliases"] if len(k.plain_key(x)) >= 8))
+            out.append({"candidate_id": n["candidate_id"], "official": official, "shown": windows(content, n["reference"], n["brand"], n["aliases"], official) if states else None})
+        return out
+
+    said = k.udf(read, "array<struct<candidate_id:string,official:boolean,shown:array<string>>>")("url", "content", "near")
+    return texts.join(named, ["mission_id", "url"]).select("mission_id", "url", "page_ord", F.explode(said).alias("s")).select("mission_id", "s.candidate_id", "url", "page_ord", "s.official", "s.shown")
 
 
 def stands_there(urls: list | None, excerpts: list | None, url: str | None, excerpt: str | None) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from evidentia.functions import kernels as k
 from evidentia.operators.identity import origin_of
-from evidentia.operators.leads import same_identity
+from evidentia.operators.matching import nested_pairs
 
 # Limits of a mission and of a wave.
 MOST_WAVES, MOST_QUERIES, PER_WAVE, MOST_PAGES, PAGES_PER_WAVE, ANGLES = 4, 12, 3, 36, 12, 2
@@ -22,11 +22,10 @@ def names_lead(query: Column, brand: Column, reference: Column) -> Column:
 def angle_counts(leads: DataFrame, sent: DataFrame) -> DataFrame:
     """leads (mission_id, brand_key, reference_key, ...) with `angles`: queries sent for the lead or a nested identity.
 
-    `sent`: mission_id, brand_key, reference_key, n. Leads are few a mission, so the theta join stays within missions."""
-    s = sent.select("mission_id", F.col("brand_key").alias("b"), F.col("reference_key").alias("r"), "n")
-    counted = leads.select("mission_id", "brand_key", "reference_key").distinct().join(s, "mission_id").filter(same_identity(F.col("brand_key"), F.col("reference_key"), F.col("b"), F.col("r")))
-    sums = counted.groupBy("mission_id", "brand_key", "reference_key").agg(F.sum("n").cast("bigint").alias("angles"))
-    return leads.join(sums, ["mission_id", "brand_key", "reference_key"], "left").withColumn("angles", F.coalesce("angles", F.lit(0).cast("bigint")))
+    `sent`: mission_id, brand_key, reference_key, n."""
+    keys = ["mission_id", "brand_key", "reference_key"]
+    sums = nested_pairs(leads.select(*keys).distinct(), sent.select(*keys, "n")).groupBy(*keys).agg(F.sum("n").cast("bigint").alias("angles"))
+    return leads.join(sums, keys, "left").withColumn("angles", F.coalesce("angles", F.lit(0).cast("bigint")))
 
 
 def targeted(leads: DataFrame, sent: DataFrame) -> DataFrame:
@@ -55,8 +54,7 @@ def progressed(before: DataFrame, after: DataFrame) -> DataFrame:
     """mission_id, progressed: has a lead a proven label that it hadn't, under its own or a nested identity, before?
 
     Both: mission_id, brand_key, reference_key, label."""
-    b = before.select("mission_id", "label", F.col("brand_key").alias("b"), F.col("reference_key").alias("r"))
-    known = after.join(b, ["mission_id", "label"]).filter(same_identity(F.col("brand_key"), F.col("reference_key"), F.col("b"), F.col("r"))).select(*after.columns).distinct()
+    known = nested_pairs(after, before.select("mission_id", "brand_key", "reference_key", "label"), on=("label",)).select(*after.columns).distinct()
     new = after.join(known, after.columns, "left_anti").select("mission_id").distinct().withColumn("progressed", F.lit(True))
     return after.select("mission_id").distinct().join(new, "mission_id", "left").withColumn("progressed", F.coalesce("progressed", F.lit(False)))
 

@@ -108,19 +108,3 @@ def test_plans(spark):
     own = [r["query"] for r in rows if r["mission_id"] == "m"]
     assert len(set(own)) == 3 and all(q.startswith("Amaro ") and "Zorex" not in q for q in own) and {r["strategy"] for r in rows if r["mission_id"] == "n"} == {"model"}
     assert planning.with_family("ZX99-10 pump", "Pump ZX99-10") == "ZX99 pump" and planning.semantic_value("AB12: blue", "X-AB12") == "blue"
-
-
-def test_lead_stream(spark, tmp_path):
-    from evidentia.streaming.missions import lead_stream
-
-    schema = "mission_id string, ord int, url string, title string, snippets array<string>, content string, rank int, proposals array<struct<brand:string,reference:string>>, product string, origin_brand string, target_brand string, criteria array<struct<requirement_id:string,label:string,requested_value:string>>"
-    row = ("m", 0, DOC.url, DOC.title, list(DOC.snippets), DOC.content, 1, [("Amaro", "AM-310-B")], MISSION.product, "Zorex", "", [(c["requirement_id"], c["label"], c["requested_value"]) for c in CRITERIA])
-    spark.createDataFrame([row], schema).write.parquet(str(tmp_path / "in"))
-    q = lead_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("leads_out").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        until = time.time() + 90  # timeouts make batches without data too, so the stream never rests
-        while not spark.table("leads_out").count() and time.time() < until:
-            time.sleep(1)
-        assert [(r["reference"], r["rank"]) for r in spark.table("leads_out").collect()] == [("AM-310-B", 1)]
-    finally:
-        q.stop()
