@@ -1,14 +1,17 @@
 """Phrases that stand literally in documents, found by an equi-join.
 
 A phrase's words but its first and last are whole words of any text that holds it. So the hash of its second and third
-word is a key that such a document has; the document's text then decides."""
+word is a key that such a document has; the document's text then decides. Phrases of fewer words have one whole word or none:
+their key is a run of GRAM characters, which any text that holds them has too."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_WORDS = 4
+from evidentia.functions import kernels as k
+
+LEAST_WORDS, GRAM = 4, 3
 #: The most keys that are broadcast to drop a document's other keys before they are shuffled.
 BROADCAST_KEYS = 200_000
 
@@ -17,14 +20,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def grams(text: str | None) -> list[str]:
+    """All different runs of GRAM characters and fewer; as many as the text has places at most for each length."""
+    text = text or ""
+    return sorted({text[at : at + size] for size in range(1, GRAM + 1) for at in range(len(text) - size + 1)})
+
+
+def few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def occurrences(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """phrases (phrase and others) with each of `docs` (doc_id, text and others) that holds them, without text.
+    """phrases (phrase and others) with each of `docs` (text and others) that holds them, without text.
 
-    Phrases of fewer than LEAST_WORDS words have no key and aren't found."""
-    w = words(F.col("phrase"))
-    keyed = phrases.withColumn("_w", w).filter(F.size("_w") >= LEAST_WORDS).withColumn("key", F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)))).drop("_w")
-    keys = keyed.select("key").distinct()
-    wanted = F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    An empty or null phrase stands in no text. Rows of `docs` are told by their text, so an id may be null or stand twice."""
+    texts = docs.filter("text IS NOT NULL").withColumn("_text", F.xxhash64("text"))
+    own = phrases.filter("phrase != ''").withColumn("_w", words(F.col("phrase")))
+    long = own.filter(F.size("_w") >= LEAST_WORDS).withColumn("_key", F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)))).drop("_w")
     two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i)))
-    held = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= 2).select("doc_id", F.explode(F.array_distinct(two)).alias("key")).join(wanted, "key", "left_semi")
-    return held.join(keyed, "key").drop("key").join(docs, "doc_id").filter(F.contains("text", F.col("phrase"))).drop("text")
+    by_words = texts.select("_text", words(F.col("text")).alias("w")).filter(F.size("w") >= 2).select("_text", F.explode(F.array_distinct(two)).alias("_key"))
+    # the middle of a phrase is a rarer key than its ends, which are mostly first letters and signs
+    size = F.least(F.length("phrase"), F.lit(GRAM))
+    short = own.filter(F.size("_w") < LEAST_WORDS).withColumn("_key", F.xxhash64(F.substring("phrase", ((F.length("phrase") - size) / 2).cast("int") + 1, size))).drop("_w")
+    sides = [(long, by_words)]
+    if not short.isEmpty():
+        by_grams = texts.select("_text", F.explode(k.udf(grams, "array<string>")("text")).alias("g")).select("_text", F.xxhash64("g").alias("_key"))
+        sides.append((short, by_grams))
+    out = None
+    for keyed, held in sides:
+        met = held.join(few(keyed.select("_key").distinct()), "_key", "left_semi").distinct().join(keyed, "_key").drop("_key")
+        found = met.join(texts, "_text").filter(F.contains("text", F.col("phrase"))).drop("text", "_text")
+        out = found if out is None else out.unionByName(found)
+    return out

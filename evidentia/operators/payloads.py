@@ -168,4 +168,4 @@ def retry_delay(attempt: Column, asked: Column) -> Column:
     """Seconds before the next call: those of the attempt (from 0), or what the server asks for if that is longer and at
     most LONGEST_DELAY; null after the last attempt."""
     own = F.get(F.array(*map(F.lit, RETRY_DELAYS)), attempt).cast("double")
-    return F.when((asked > 0) & (asked <= LONGEST_DELAY), F.greatest(own, asked)).otherwise(own)
+    return F.when(own.isNotNull() & (asked > 0) & (asked <= LONGEST_DELAY), F.greatest(own, asked)).otherwise(own)

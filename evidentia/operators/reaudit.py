@@ -30,7 +30,11 @@ CURRENT_LABELS = ("courant nominal", "rated operational current", "operational c
 STOP = frozenset(["a", "au", "aux", "de", "des", "du", "et", "la", "le", "les", "of", "the", "to"])
 # What announces another product, and prefixes of standards, which look like codes.
 OTHERS, OTHER_THINGS = ("related", "other"), ("product", "model", "reference", "ref", "produit", "modèle", "modele", "référence", "réference", "reférence")
-STANDARDS = ("iec", "en", "ul", "vde", "gb", "csa", "nf", "iso", "din", "ansi", "nema", "rohs", "reach", "ce")
+# Units with and without a kind of current, and what else a technical code is made of.
+SUPPLIES = frozenset(u + c for u in ("v", "a") for c in ("ac", "dc"))
+STANDARDS = frozenset(["iec", "en", "ul", "vde", "gb", "csa", "nf", "iso", "din", "ansi", "nema", "rohs", "reach", "ce"])
+ALONE = frozenset(["ac", "dc", "pole", "phase", "stack"])  # those that may be a part of their own
+TECHNICAL = STANDARDS | SUPPLIES | {u + c for u in ("v", "a", "ma", "ka") for c in ("", "ac", "dc")} | {"no", "nc", "nf", "hz", "ac", "dc", "ip", "ec", "pole", "phase", "stack"}
 FAMILY_WORDS = frozenset(["famille", "family", "serie", "series"])
 
 
@@ -68,20 +72,12 @@ def official_aliases(reference: str, url: str, content: str | None, family: str
 
 
 def technical(code: str) -> bool:
-    """Is a code a value, a protection class, a utilisation category, a count, or a standard, and so no product's?"""
-    parts = re.split("[-_]", code.casefold())
-    runs = re.findall(r"\d+|[^\d]+", parts[0])
-    first, rest = runs[0], runs[1:]
-    last = re.findall(r"\d+|[^\d]+", parts[-1])
-    value = lambda r: len(r) == 2 and r[0].isdigit() and (r[1] in ("v", "a", "ma", "ka") or r[1][-2:] in ("ac", "dc") and r[1][:-2] in ("v", "a", "ma", "ka"))
-    if len(parts) == 1:
-        counted = len(runs) == 2 and runs[0].isdigit() and runs[1] in ("no", "nc", "nf", "hz")
-        return value(runs) or counted or first in ("ac", "dc", "ip", "ec", *STANDARDS) and len(rest) == 1 and rest[0].isdigit()
-    if first in ("ac", "dc") and all(r.isdigit() for r in rest):
-        return True
-    if first in STANDARDS and rest and all(p.isdigit() for p in (*rest, *parts[1:])):
-        return True
-    return parts[0].isdigit() and parts[1:] in (["pole"], ["phase"], ["stack"]) or len(last) == 2 and last[0].isdigit() and last[1] in ("vac", "vdc", "aac", "adc")
+    """Does a code have technical words and numbers only, or end with a supply's value, and so names no product?"""
+    parts = [re.findall(r"\d+|\D+", p) for p in re.split("[-_]", code.casefold())]
+    words = {run for p in parts for run in p if not run.isdigit()}
+    last = parts[-1]
+    alone = all(len(p) > 1 or p[0].isdigit() or p[0] in ALONE for p in parts if p)  # DIN35 is a standard, DIN-35 may be a code
+    return bool(words) and words <= TECHNICAL and alone or len(parts) > 1 and len(last) == 2 and last[0].isdigit() and last[1] in SUPPLIES
 
 
 def window_end(content: str, start: int, end: int, aliases: list[str], brand: str) -> int:

@@ -30,14 +30,14 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def literal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, n_parts, doc_id, source, part of each sentence, of four words or more, that stands literally in a document."""
-    parts = t(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", r"(?<=[.])\s+"), lambda s: F.size(literal.words(s)) >= literal.LEAST_WORDS)).alias("part", "sentence"))
+    """item_id, n_parts, doc_id, source, part of each sentence that stands literally in a document."""
+    parts = t(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", r"(?<=[.])\s+"), lambda s: s != "")).alias("part", "sentence"))
     parts = parts.withColumn("n_parts", F.count("*").over(Window.partitionBy("item_id")))
     found = literal.occurrences(parts.withColumnRenamed("sentence", "phrase"), t(spark, d, "documents").select("doc_id", "source", "text"))
     return found.select("item_id", "n_parts", "doc_id", "source", "part").distinct()
 
 
-PARTS_SQL = r"""WITH s AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+')) >= 4)) AS sentence, text FROM benchmark),
+PARTS_SQL = r"""WITH s AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS sentence, text FROM benchmark),
 p AS (SELECT item_id, sentence, row_number() OVER (PARTITION BY item_id) AS part, count(*) OVER (PARTITION BY item_id) AS n_parts FROM s),
 f AS (SELECT item_id, n_parts, doc_id, source, part FROM p JOIN documents d ON contains(d.text, p.sentence))"""
 
@@ -306,7 +306,7 @@ def wave_prefix(spark: SparkSession, d: str) -> DataFrame:
     return replay.by_wave(e, waves).groupBy("mission_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
 
 
-@query("""SELECT c_custkey, '!' || ['aa', 'bb', 'cc'][c_custkey % 3 + 1] || ' ' || trim(regexp_replace(c_mktsegment || '  relay', '\s+', ' ', 'g')) AS query, array_to_string(['aa', 'bb', 'cc'][c_custkey % 3 + 1:] || ['aa', 'bb', 'cc'][:c_custkey % 3], ',') AS engines FROM customer""")
+@query(r"""SELECT c_custkey, '!' || ['aa', 'bb', 'cc'][c_custkey % 3 + 1] || ' ' || trim(regexp_replace(c_mktsegment || '  relay', '\s+', ' ', 'g')) AS query, array_to_string(['aa', 'bb', 'cc'][c_custkey % 3 + 1:] || ['aa', 'bb', 'cc'][:c_custkey % 3], ',') AS engines FROM customer""")
 def engine_rotation(spark: SparkSession, d: str) -> DataFrame:
     order = hits.engine_sequence(["aa", "bb", "cc"], F.col("c_custkey"))
     return t(spark, d, "customer").select("c_custkey", hits.bang_query(F.element_at(order, 1), F.concat(F.lit("!zz "), "c_mktsegment", F.lit("  relay"))).alias("query"), F.array_join(order, ",").alias("engines"))
@@ -371,14 +371,13 @@ def answered_audits(spark: SparkSession, d: str) -> DataFrame:
     return payloads.audits_of(rows)[0].select("mission_id", "brand", F.col("proofs")[0]["type"].alias("type"), F.size("proofs").alias("n_proofs"))
 
 
-@query("""SELECT event_id, event_id % 7 = 0 AS limited, event_id % 7 IN (0, 1, 2) AS temporary, CASE WHEN event_id % 6 > 3 THEN CASE event_id % 6 WHEN 4 THEN NULL ELSE 70.0 END WHEN event_id % 6 = 0 THEN 2.0 ELSE [1.0, 3.0, 8.0, 20.0][event_id % 6 + 1] END AS delay FROM events WHERE event_id % 6 < 5""")
+@query("""SELECT event_id, event_id % 7 = 0 AS limited, event_id % 7 IN (0, 1, 2) AS temporary, CASE WHEN event_id % 6 > 3 THEN NULL WHEN event_id % 6 = 0 THEN 2.0 ELSE [1.0, 3.0, 8.0, 20.0][event_id % 6 + 1] END AS delay FROM events""")
 def provider_errors(spark: SparkSession, d: str) -> DataFrame:
     from evidentia.operators import payloads
 
     n = F.col("event_id")
     status = F.when(n % 7 == 0, 429).when(n % 7 == 1, 503).when(n % 7 == 3, 404)
-    e = t(spark, d, "events").filter(n % 6 < 5)
-    return e.select("event_id", payloads.is_limited(status, F.lit("X")).alias("limited"), payloads.is_temporary(status, F.when(n % 7 == 2, "APITimeoutError")).alias("temporary"), payloads.retry_delay((n % 6).cast("int"), F.when(n % 6 == 0, 2.0).when(n % 6 == 1, 90.0)).alias("delay"))
+    return t(spark, d, "events").select("event_id", payloads.is_limited(status, F.lit("X")).alias("limited"), payloads.is_temporary(status, F.when(n % 7 == 2, "APITimeoutError")).alias("temporary"), payloads.retry_delay((n % 6).cast("int"), F.when(n % 6 == 0, 2.0).when(n % 6 == 1, 90.0)).alias("delay"))
 
 
 @query("""WITH l AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank, n_nationkey % 3 AS sent FROM nation)
@@ -436,3 +435,86 @@ def unit_reviews(spark: SparkSession, d: str) -> DataFrame:
 
     rows = t(spark, d, "part").select("p_partkey", F.lit("Supply voltage").alias("label"), F.when(F.col("p_partkey") % 2 == 0, F.format_string("%d mm", "p_size")).otherwise(F.format_string("%d V", "p_size")).alias("requested_value"))
     return coverage.unit_disagreements(rows).select("p_partkey", "review")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id % 5 = 0 AS ok, CASE event_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 END AS status, CASE WHEN event_id % 3 = 0 THEN 'APITimeoutError' END AS kind, CASE WHEN event_id % 11 = 0 THEN 12.0 WHEN event_id % 13 = 0 THEN 90.0 END AS asked, event_id FROM events),
+a AS (SELECT *, coalesce(status = 429 OR status BETWEEN 500 AND 599, false) OR kind IS NOT NULL AS temporary, row_number() OVER o - 1 AS attempt FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, coalesce(bool_or(ok OR NOT temporary) OVER (PARTITION BY user_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended FROM a),
+c AS (SELECT *, CASE WHEN NOT ok AND temporary AND attempt < 4 THEN greatest([1.0, 3.0, 8.0, 20.0][attempt + 1], CASE WHEN asked <= 60 THEN asked ELSE 0.0 END) END AS delay FROM b WHERE NOT ended AND attempt <= 4)
+SELECT user_id, CASE WHEN arg_max(ok, attempt) THEN 'succeeded' WHEN NOT arg_max(temporary, attempt) THEN 'failed' WHEN max(attempt) = 4 THEN 'exhausted' ELSE 'retry' END AS state, CAST(count(*) AS INTEGER) AS attempts, CAST(coalesce(sum(delay) FILTER (attempt < m), 0.0) AS DOUBLE) AS waited, CAST(max(delay) FILTER (attempt = m) AS DOUBLE) AS delay
+FROM (SELECT *, max(attempt) OVER (PARTITION BY user_id) AS m FROM c) GROUP BY user_id""")
+def provider_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Events as attempts of a request of each user: how it ended, or when it goes out again."""
+    from evidentia.operators import retries
+
+    n = F.col("event_id")
+    e = t(spark, d, "events").select("user_id", F.col("ts").alias("at"), (n % 5 == 0).alias("ok"), F.when(n % 7 == 0, 429).when(n % 7 == 1, 503).when(n % 7 == 2, 404).alias("status"), F.when(n % 3 == 0, "APITimeoutError").alias("kind"), F.when(n % 11 == 0, 12.0).when(n % 13 == 0, 90.0).alias("asked"))
+    return retries.outcomes(e, "user_id").select("user_id", "state", "attempts", "waited", "delay")
+
+
+KEYS_SQL = """(SELECT DISTINCT regexp_extract(url, '://([^/?#:]*)', 1) AS host, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS long, regexp_replace(lower(split_part(url, '?', 1)), '[^a-z0-9]', '', 'g') AS short FROM pages)"""
+
+
+@query(f"""SELECT a.host AS brand_key, a.long AS reference_key, count(*) AS nested, max(length(b.short)) AS longest FROM (SELECT DISTINCT host, long FROM {KEYS_SQL}) a
+JOIN (SELECT DISTINCT host, short FROM {KEYS_SQL}) b ON a.host = b.host AND (a.long = b.short OR (length(b.short) >= 8 AND contains(a.long, b.short)) OR (length(a.long) >= 8 AND contains(b.short, a.long))) GROUP BY ALL""")
+def nested_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Letters and digits of each URL with those of its host's URLs up to a question mark that are equal or nested."""
+    from evidentia.operators.matching import nested_pairs
+
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    p = t(spark, d, "pages").select(F.lit("m").alias("mission_id"), F.regexp_extract("url", "://([^/?#:]*)", 1).alias("brand_key"), key(F.col("url")).alias("long"), key(F.split_part("url", F.lit("?"), F.lit(1))).alias("short"))
+    a = p.select("mission_id", "brand_key", F.col("long").alias("reference_key")).distinct()
+    b = p.select("mission_id", "brand_key", F.col("short").alias("reference_key")).distinct()
+    return nested_pairs(a, b).groupBy("brand_key", "reference_key").agg(F.count("*").alias("nested"), F.max(F.length("other_key")).alias("longest"))
+
+
+@query(r"""WITH b AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark), n AS (SELECT item_id, lower(w[1]) || ' ' || lower(w[2]) AS name FROM b WHERE len(w) >= 2),
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
+SELECT item_id, count(*) AS documents FROM n JOIN d ON contains(t, ' ' || name || ' ') GROUP BY item_id""")
+def stated_names(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of each benchmark item as a name: the documents that state it."""
+    from evidentia.functions import kernels as k
+    from evidentia.operators.matching import meetings
+
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    names = t(spark, d, "benchmark").filter(F.size(words) >= 2).select(F.lit("m").alias("mission_id"), "item_id", F.array(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).alias("names"))
+    pages = t(spark, d, "documents").filter("text IS NOT NULL").select(F.lit("m").alias("mission_id"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
+    near = meetings(names, pages, "item_id", "names").groupBy("mission_id", "url").agg(F.collect_list(F.struct("item_id", "names")).alias("near"))
+    # a document is read once for all names that it may state, each as separate words
+    stated = k.udf(lambda near, text: [n["item_id"] for text in [f" {' '.join(k.identity_words(text))} "] for n in near if f" {' '.join(k.identity_words(n['names'][0]))} " in text], "array<bigint>")
+    return near.join(pages, ["mission_id", "url"]).select(F.explode(stated("near", "content")).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, CASE WHEN s_suppkey % 3 = 2 THEN 'not_resolved' ELSE 'complete' END AS status, CASE WHEN s_suppkey % 3 = 2 THEN 'no_candidate_discovered' ELSE 'candidate_selected' END AS final_state,
+CASE WHEN s_suppkey % 3 = 2 THEN 'QUERY_BUDGET_EXHAUSTED' ELSE 'PROVEN_EQUIVALENT' END AS stop_reason, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 END AS wave, CASE WHEN s_suppkey % 3 < 2 THEN 'AM-' || (1000 + s_suppkey) END AS reference FROM supplier""")
+def lead_loop(spark: SparkSession, d: str) -> DataFrame:
+    """A mission for each supplier through all waves, with tables for providers: a third finds the maker's page at once, a third
+    by a lead that a hit names, a shop that proves nothing and a new discovery, a third nothing."""
+    from evidentia.operators.identity import Brands
+    from evidentia.plans.adaptive import Providers, research
+
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("mission_id"), (F.col("s_suppkey") % 3).alias("kind"), F.format_string("AM-%d", F.col("s_suppkey") + 1000).alias("code"))
+    facts = [("volt", "Supply voltage", "12 V DC"), ("curr", "Rated current", "5 A"), ("stages", "Number of stages", "3 stages")]
+    missions = s.select("mission_id", F.lit("Three stage pump").alias("product"), F.lit("").alias("origin_brand"), F.when(F.col("kind") == 1, "Amaro").otherwise("").alias("target_brand"), F.lit(75).alias("threshold"), F.lit(False).alias("strict"))
+    listed = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(i).alias("requirement_id"), F.lit(label).alias("label"), F.lit(v).alias("requested_value"), F.lit(True).alias("critical")) for n, (i, label, v) in enumerate(facts)])
+    requirements = s.select("mission_id", F.explode(listed).alias("r")).select("mission_id", "r.*")
+    maker, shop, empty = (F.concat(F.lit(f"https://{h}/items/"), "code") for h in ("amaro.example", "parts-store.example", "empty.example"))
+    hit = lambda needle, url, title: F.struct(F.lit(needle).alias("needle"), url.alias("url"), title.alias("title"))
+    own = F.concat(F.lit("Amaro "), "code", F.lit(" pump relay"))
+    first = F.array(hit("fiche produit", F.when(F.col("kind") == 0, maker).otherwise(empty), F.when(F.col("kind") == 2, "Three stage pump").otherwise(own)))
+    later = F.array(hit("am-1", shop, own), hit("variante1", maker, F.lit("Three stage pump 12 V DC 5 A supply voltage")))
+    found = s.select("mission_id", F.explode(F.when(F.col("kind") == 1, F.concat(first, later)).otherwise(first)).alias("h")).select("mission_id", "h.*")
+    says = F.concat(F.lit("Amaro "), "code", F.lit(" three stage pump.\nSupply voltage 12 V DC. Rated current 5 A. 3 stages."))
+    texts = s.select(maker.alias("url"), says.alias("content")).unionByName(s.select(shop.alias("url"), F.concat(F.lit("Amaro "), "code", F.lit(" three stage pump.\nAsk us for a price.")).alias("content")))
+    proof = lambda excerpt: F.array(F.struct(maker.alias("url"), F.lit(excerpt).alias("excerpt"), F.lit("official").alias("type")))
+    criteria = F.array(*[F.struct(F.lit(i).alias("requirement_id"), F.lit(v).alias("requested_value"), F.lit(v).alias("observed_value"), F.lit("proven").alias("status"), proof(v if i == "stages" else f"{label} {v}").alias("proofs")) for i, label, v in facts])
+    answers = s.select(maker.alias("page_url"), F.to_json(F.struct(F.array(F.struct(F.lit("Amaro").alias("brand"), F.col("code").alias("reference"), criteria.alias("criteria"))).alias("candidates"))).alias("answer"))
+    providers = Providers(
+        lambda queries: queries.join(found, "mission_id").filter(F.contains(F.lower("query"), F.col("needle"))).select("mission_id", "query_ord", "query", F.lit(1).alias("rank"), "url", "title", F.lit("").alias("snippet")),
+        lambda urls: urls.join(texts, "url", "left").select("mission_id", "url", F.lit("").alias("title"), "content"),
+        lambda pages: pages.join(answers, "page_url", "left").select("mission_id", "audit_ord", "page_url", F.coalesce("answer", F.lit('{"candidates": []}')).alias("answer")),
+    )
+    out = research(missions, requirements, providers, Brands({frozenset(["amaro"]): frozenset(["amaro.example"])}))
+    opened = out.pages.filter("url LIKE '%amaro.example%'").groupBy("mission_id").agg(F.min("wave").alias("wave"))
+    lead = out.leads.filter("rank = 1").select("mission_id", "reference")
+    return out.results.join(opened, "mission_id", "left").join(lead, "mission_id", "left")
