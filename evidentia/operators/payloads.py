@@ -17,9 +17,9 @@ from evidentia.operators.coverage import unit_disagreements
 
 # Stages, issues and actions of diagnostics; and the fields that a path may end with.
 STAGES = ("requirement_initial_extraction", "requirement_text_supplement", "requirement_visual_supplement", "page_audit")
-ISSUES = ("invalid_item", "invalid_structure", "json_parse_error", "unit_label_disagreement", "temporary_model_unavailable")
-ACTIONS = ("aborted", "discarded", "retried", "retry_failed", "review")
-FIELDS = ("id", "label", "requested_value", "critical", "evidence_excerpt", "page", "table", "column", "requirement_id", "observed_value", "status", "proofs", "brand", "reference", "criteria")
+ISSUES = ("invalid_item", "invalid_structure", "json_parse_error", "unit_label_disagreement", "temporary_model_unavailable", "empty_declared_audit")
+ACTIONS = ("aborted", "discarded", "retried", "retry_failed", "review", "defaulted_not_proven")
+FIELDS = ("id", "label", "requested_value", "critical", "evidence_excerpt", "page", "table", "column", "requirement_id", "observed_value", "status", "proofs", "brand", "reference", "criteria", "candidate_criteria")
 # Statuses, types of proofs, and what models say for an official source.
 STATUSES, PROOF_TYPES = ("proven", "incompatible", "not_proven"), ("web_officiel", "web_secondaire")
 OFFICIAL = ("officiel", "official", "web_official", "site_officiel", "fabricant", "manufacturer", "constructeur")
@@ -67,7 +67,7 @@ def text_at(value: Column, path: str) -> Column:
 
 def safe_path(path: Column) -> Column:
     """A path of the known form, or `$`."""
-    part = r"(product|origin_brand|(criteria|candidates)(\[\d+\])?(\.(" + "|".join(FIELDS) + r")(\[\d+\])?(\.type)?)*)"
+    part = r"(product|origin_brand|(criteria|candidates|candidate_criteria)(\[\d+\])?(\.(" + "|".join(FIELDS) + r")(\[\d+\])?(\.type)?)*)"
     return F.when(path.rlike(f"^{part}$"), path).otherwise("$")
 
 
@@ -114,6 +114,21 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def proof_type(proof: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(F.try_variant_get(proof, "$.type", "string"), F.lit(""))))
+
+
+def proofs_of(raw: Column, page: Column) -> Column:
+    """Whole proofs of an array of VARIANT values: a bare text is an excerpt of the page, an unknown type is secondary."""
+
+    def made(p: Column) -> Column:
+        text = F.struct(page.alias("url"), F.trim(F.try_variant_get(p, "$", "string")).alias("excerpt"), F.lit("web_secondaire").alias("type"))
+        kind = F.when(proof_type(p).isin(*PROOF_TYPES), proof_type(p)).when(proof_type(p).isin(*OFFICIAL), "web_officiel").otherwise("web_secondaire")
+        return F.when(is_kind(p, "STRING"), text).otherwise(F.struct(F.try_variant_get(p, "$.url", "string").alias("url"), F.try_variant_get(p, "$.excerpt", "string").alias("excerpt"), kind.alias("type")))
+
+    return F.filter(F.transform(raw, made), lambda p: (F.coalesce(p["url"], F.lit("")) != "") & (F.coalesce(p["excerpt"], F.lit("")) != ""))
+
+
 def audits_of(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(criteria, diagnostics) of audit answers (mission_id, audit_ord, page_url, answer), in the form of schemas.CRITERIA.
 
@@ -139,16 +154,11 @@ def audits_of(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = rows
     for test in wrong.values():
         good = good.filter(~test)
-    typed = lambda p: F.lower(F.trim(F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit(""))))
-    proof = lambda p, page: F.when(
-        is_kind(p, "STRING"), F.struct(page.alias("url"), F.trim(F.try_variant_get(p, "$", "string")).alias("excerpt"), F.lit("web_secondaire").alias("type"))
-    ).otherwise(F.struct(F.try_variant_get(p, "$.url", "string").alias("url"), F.try_variant_get(p, "$.excerpt", "string").alias("excerpt"), F.when(typed(p).isin(*PROOF_TYPES), typed(p)).when(typed(p).isin(*OFFICIAL), "web_officiel").otherwise("web_secondaire").alias("type")))
-    made = F.transform("raw", lambda p: proof(p, F.col("page_url")))
-    whole = F.filter(made, lambda p: (F.coalesce(p["url"], F.lit("")) != "") & (F.coalesce(p["excerpt"], F.lit("")) != ""))
+    whole = proofs_of(F.col("raw"), F.col("page_url"))
     odd = good.select(*keys, "at", F.posexplode("raw").alias("p_ord", "p"))
     place = F.concat("at", F.lit(".proofs["), F.col("p_ord").cast("string"), F.lit("]"))
     said.append(say(odd.filter(~is_kind(F.col("p"), "OBJECT")), keys, stage, place, "invalid_item"))
-    said.append(say(odd.filter(is_kind(F.col("p"), "OBJECT") & ~typed(F.col("p")).isin(*PROOF_TYPES)), keys, stage, F.concat(place, F.lit(".type")), "invalid_item"))
+    said.append(say(odd.filter(is_kind(F.col("p"), "OBJECT") & ~proof_type(F.col("p")).isin(*PROOF_TYPES)), keys, stage, F.concat(place, F.lit(".type")), "invalid_item"))
     out = good.select("mission_id", F.concat_ws("/", "audit_ord", "c_ord").alias("candidate_id"), "brand", "reference", "page_url", "audit_ord", "ord", F.trim("requirement_id").alias("requirement_id"), "requested_value", F.coalesce("observed_value", F.lit("")).alias("observed_value"), "status", whole.alias("proofs"))
     return out, sanitized(union(said))
 

@@ -518,3 +518,22 @@ def lead_loop(spark: SparkSession, d: str) -> DataFrame:
     opened = out.pages.filter("url LIKE '%amaro.example%'").groupBy("mission_id").agg(F.min("wave").alias("wave"))
     lead = out.leads.filter("rank = 1").select("mission_id", "reference")
     return out.results.join(opened, "mission_id", "left").join(lead, "mission_id", "left")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS mission_id, CAST(i AS INTEGER) AS candidate, r AS requirement_id, CASE WHEN p_partkey % 4 <> 3 AND p_partkey % 3 >= i AND r = 'size' THEN CASE WHEN (p_size + i) % 2 = 0 THEN 'proven' ELSE 'incompatible' END ELSE 'not_proven' END AS status, CASE WHEN p_partkey % 4 <> 3 AND p_partkey % 3 >= i AND r = 'size' THEN CAST(p_size + i AS VARCHAR) || ' mm' ELSE '' END AS observed_value
+FROM part, (SELECT unnest([0, 1]) AS i), (SELECT unnest(['size', 'kind']) AS r)""")
+def declared_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Two leads a part, read for its size and type: answers tell the size of the first ones, repeat it, and add what nobody asked for."""
+    from evidentia.operators.declared import declared_audits
+
+    p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mission_id"), "p_partkey", "p_size", "p_type")
+    two = F.explode(F.array(F.lit(0), F.lit(1)))
+    declared = p.select("mission_id", F.lit(0).alias("audit_ord"), two.alias("candidate_index"), F.lit("Acme").alias("brand"), F.lit("A-1").alias("reference"))
+    requirements = p.select("mission_id", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("size").alias("requirement_id"), F.format_string("%d mm", "p_size").alias("requested_value")), F.struct(F.lit(1).alias("ord"), F.lit("kind").alias("requirement_id"), F.col("p_type").alias("requested_value")))).alias("r")).select("mission_id", "r.*")
+    item = lambda i: F.struct(F.lit("size").alias("requirement_id"), F.format_string("%d mm", F.col("p_size") + i).alias("observed_value"), F.when((F.col("p_size") + i) % 2 == 0, "proven").otherwise("incompatible").alias("status"))
+    odd = F.struct(F.lit("colour").alias("requirement_id"), F.lit("red").alias("observed_value"), F.lit("proven").alias("status"))
+    group = lambda i: F.struct(F.lit(i).alias("candidate_index"), F.array(item(i), odd, item(i + 1)).alias("criteria"))
+    groups = F.slice(F.array(group(0), group(1)), 1, F.least(F.col("p_partkey") % 3 + 1, F.lit(2)).cast("int"))
+    answer = F.when(F.col("p_partkey") % 4 == 3, '{"candidate_criteria": []}').otherwise(F.concat(F.lit("Read: "), F.to_json(F.struct(groups.alias("candidate_criteria")))))
+    criteria, _ = declared_audits(p.select("mission_id", F.lit(0).alias("audit_ord"), F.lit("https://p.example").alias("page_url"), answer.alias("answer")), declared, requirements)
+    return criteria.select("mission_id", F.split_part("candidate_id", F.lit("/"), F.lit(2)).cast("int").alias("candidate"), "requirement_id", "status", "observed_value")
