@@ -154,10 +154,12 @@ def seen_in_hits(found: DataFrame, missions: DataFrame, requirements: DataFrame,
 
 
 def expected_on(pages: DataFrame, active: DataFrame, target: DataFrame) -> DataFrame:
-    """pages with `expected`, the references of leads that a page shows, and `brands`, the mission's target brand."""
+    """pages with `expected`, the references of leads that a page shows and its own codes, and `brands`, the mission's target brand."""
     document = F.struct("url", "title", F.lit("").alias("snippet"), "content")
-    proposed = pages.select("mission_id", document.alias("document")).join(active.select("mission_id", F.col("rank").alias("ord"), F.lit("mpn").alias("kind"), F.col("reference").alias("value")), "mission_id")
-    known = identity.raw_identifiers(identity.extract_identities(proposed))
+    held = pages.select("mission_id", document.alias("document"))
+    proposed = held.join(active.select("mission_id", F.col("rank").alias("ord"), F.lit("mpn").alias("kind"), F.col("reference").alias("value")), "mission_id")
+    own = held.select("mission_id", "document", F.posexplode(identity.fallback_identities(F.col("document.title"), F.col("document.content"))).alias("ord", "value")).select("mission_id", "document", (100 + F.col("ord")).alias("ord"), F.lit("mpn").alias("kind"), "value")
+    known = identity.raw_identifiers(identity.extract_identities(proposed.unionByName(own)))
     brand = F.when(F.trim(F.coalesce("target_brand", F.lit(""))) != "", F.array("target_brand"))
     return pages.join(known, ["mission_id", "url"], "left").join(target.select("mission_id", brand.alias("brands")), "mission_id", "left")
 
@@ -233,7 +235,8 @@ def research(missions: DataFrame, requirements: DataFrame, providers: Providers,
         ingest(cut(leads.sightings(proposed.unionByName(documents(in_mode(placed, "targeted").withColumn("ord", F.col("page_ord")))), missions, requirements)))
 
         criteria = cut(criteria.unionByName(checked))
-        valid, evaluations = judged(criteria, requirements, missions, state.pages.select("mission_id", "url", "title", "content", "page_ord"), brands)
+        if evaluations is None or not batch.isEmpty():  # else nothing is new
+            valid, evaluations = judged(criteria, requirements, missions, state.pages.select("mission_id", "url", "title", "content", "page_ord"), brands)
         close(state, wave, budget, asked, mode, batch, valid, evaluations, requirements)
         done.append(state.closed)
 

@@ -70,7 +70,7 @@ def tables_of(spark, missions):
 
 MISSIONS = [("m", ""), ("n", ""), ("w", "Amaro"), ("h", "")]
 FOUND = [
-    ("m", "fiche produit", 1, DAVEL, "Davel DV-310", "three stage pump"), ("m", "fiche produit", 2, EMPTY, "Three stage pump", ""), ("m", "dv", 1, AMARO, "Amaro AM-310 and DV-310", "supply voltage 12 V DC"),
+    ("m", "fiche produit", 1, DAVEL, "Davel DV-310", "three stage pump"), ("m", "fiche produit", 2, EMPTY, "Three stage pump", ""), ("m", "variante1", 1, AMARO, "Amaro three stage pump", "supply voltage 12 V DC"),
     ("n", "fiche produit", 1, EMPTY, "Three stage pump", ""),
     ("w", "fiche produit", 1, EMPTY, "Amaro AM-310 pump relay", "three stage pump"), ("w", "am-310", 1, SHOP, "AM-310 at the shop", "Amaro AM-310"), ("w", "variante1", 1, AMARO, "Amaro three stage pump", "12 V DC 5 A 3 stages supply voltage"),
     ("h", "fiche produit", 1, EMPTY, "Davel DV-310 pump", ""), ("h", "fiche produit", 2, "https://pump.example/list-of", "A pump", ""),
@@ -106,7 +106,7 @@ def test_leads_near_misses_and_shops_are_asked_for(ran):
     assert set(second[1:]) == {("lead", "Davel DV-310 fiche technique"), ("shop", "site:parts.example DV-310")}
     assert [k["reference_key"] for r in sent if r["kind"] == "lead" for k in r["keys"]][:1] == ["dv310"]
     modes = {r["wave"]: r["mode"] for r in out["waves"]["m"]}
-    assert (modes[1], modes[2]) == ("discovery", "targeted")
+    assert [modes[n] for n in (1, 2, 3)] == ["discovery", "targeted", "discovery"]
     # the broken answer was asked for once more
     assert [u for u, _, _ in given.read].count(DAVEL) >= 2
     assert ("json_parse_error", "retried") in {(r["issue"], r["action"]) for r in out["diagnostics"]["m"]}
