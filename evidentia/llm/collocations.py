@@ -19,13 +19,15 @@ shards, cut between pieces. No rows, no result.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,9 @@ from evidentia.llm.runtime import cut, map_arrow, new_folder, remove_folder, sma
 LEAST, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: A candidate inside a longer phrase that occurs INSIDE percent as often is dropped.
 INSIDE = 80
-SHARD, BLOCK = 400_000, 16
+SHARD, BLOCK = 1_000_000, 8
+#: Flags of a filter of frequent words or pairs that tasks have; only what passes it is joined with them.
+FILTER = 1_048_573
 #: Bytes of a text that are split into words at once, and pairs of blocks that are ANDed at once.
 SLICE, AT_ONCE = 4 << 20, 1_000_000
 END = b"."
@@ -68,8 +72,7 @@ class Layout:
         self.size = 0
 
     def add(self, part: bytes) -> None:
-        words = part.replace(END, b" . ").split(b" ")
-        words = [w for w in words if w]
+        words = part.replace(END, b" . ").split()  # no other white space is left
         words.append(END)
         self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
@@ -87,13 +90,11 @@ class Layout:
 
 
 def blocks(place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block, word, bits of all bitmaps, ordered by block and word; `place` ascends."""
-    key = (place // BLOCK << 32) | number
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    bits = np.bitwise_or.reduceat((1 << (place[order] % BLOCK)).astype(np.uint16), first)
-    return key[first] >> 32, key[first] & 0xFFFFFFFF, bits
+    """Block, word, bits of all bitmaps, ordered by block and word."""
+    key = np.sort((place // BLOCK << 35) | (number << 3) | place % BLOCK)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] >> 3 != key[:-1] >> 3]))
+    bits = np.bitwise_or.reduceat((1 << (key & 7)).astype(np.uint8), first)
+    return key[first] >> 35, (key[first] >> 3) & 0xFFFFFFFF, bits
 
 
 def per_block(block: np.ndarray) -> bytes:
@@ -131,7 +132,7 @@ class Shard:
 
     @classmethod
     def of(cls, row: dict) -> Shard:
-        return cls(*(np.frombuffer(row[c], t) for c, t in (("ids", np.int32), ("per_block", np.uint8), ("word", np.uint32), ("bits", np.uint16))))
+        return cls(*(np.frombuffer(row[c], t) for c, t in (("ids", np.int32), ("per_block", np.uint8), ("word", np.uint32), ("bits", np.uint8))))
 
     def runs(self) -> Iterator[np.ndarray]:
         """Entries by word, about as many at once as their extensions may take."""
@@ -146,9 +147,9 @@ class Shard:
 
     def extended(self, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Shift and AND: for each word that follows a bit, the entry that it follows, the word's entry, and the bits."""
-        moved, over = (bits << 1).astype(np.uint16), np.flatnonzero(bits >> (BLOCK - 1))
+        moved, over = (bits << 1).astype(np.uint8), np.flatnonzero(bits >> (BLOCK - 1))
         entry = np.concatenate([np.flatnonzero(moved), over])
-        moved = np.concatenate([moved[moved > 0], np.ones(len(over), np.uint16)])
+        moved = np.concatenate([moved[moved > 0], np.ones(len(over), np.uint8)])
         to = np.concatenate([block[entry[: len(moved) - len(over)]], block[over] + 1])
         n = self.start[to + 1] - self.start[to]
         parts, done = [], 0
@@ -163,25 +164,40 @@ class Shard:
             parts.append((entry[source[hit]], other[hit], both[hit]))
             done = upto
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of words, each as one integer, and their numbers."""
-        found = [totals(self.pair(self.word[run[e]], self.word[o]), bits) for run in self.runs() for e, o, bits in [self.extended(self.block[run], self.bits[run])]]
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    def pairs(self, passes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of words, or those that pass a filter, each as one integer, and their numbers."""
+        found = []
+        for run in self.runs():
+            entry, other, bits = self.extended(self.block[run], self.bits[run])
+            first, second = self.word[run[entry]], self.word[other]
+            if passes is not None:
+                keep = passes[self.pair(first, second) % FILTER]
+                first, second, bits = first[keep], second[keep], bits[keep]
+            if not len(first):
+                continue
+            # both words' places in the shard and the popcount in one integer, which sorts faster than an order of keys
+            key = np.sort((first << 34) | (second << 5) | np.bitwise_count(bits))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] >> 5 != key[:-1] >> 5]))
+            found.append((self.pair(key[first] >> 34, (key[first] >> 5) & 0x1FFFFFFF), np.add.reduceat(key & 31, first)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.ids[a] << 32) | self.ids[b]
 
     def longer(self, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Phrases of three and more words whose pairs all are `frequent` (sorted): first pair, what follows, number."""
-        known = lambda x: np.isin(x, frequent)
+        if not len(frequent):
+            return
+        known = lambda x: frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
         for run in self.runs():
             entry, other, bits = self.extended(self.block[run], self.bits[run])
             head = self.pair(self.word[run[entry]], self.word[other])
             keep = known(head)
             head, other, bits, tail = head[keep], other[keep], bits[keep], np.zeros(keep.sum(), np.int64)
+            phrase = np.unique(head, return_inverse=True)[1]
             for size in range(3, LONGEST + 1):
                 entry, last, bits = self.extended(self.block[other], bits)
                 keep = known(self.pair(self.word[other[entry]], self.word[last]))
@@ -190,48 +206,73 @@ class Shard:
                 other = last
                 if not len(head):
                     break
-                order = np.lexsort((tail, head))
-                new = np.concatenate([[True], (np.diff(head[order]) != 0) | (np.diff(tail[order]) != 0)])
+                # what a phrase was extended from is a number, so one integer tells phrases apart
+                key = (phrase[entry] << 29) | last
+                order = np.argsort(key)
+                new = np.concatenate([[True], np.diff(key[order]) != 0])
                 yield head[order][new], tail[order][new], np.add.reduceat(np.bitwise_count(bits[order]).astype(np.int64), np.flatnonzero(new))
-
-
-def totals(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(key):
-        return key, np.zeros(0, np.int64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(np.bitwise_count(bits[order]).astype(np.int64), first)
+                phrase = np.empty(len(key), np.int64)
+                phrase[order] = np.cumsum(new) - 1
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards with the bitmaps of the words in `known` only, in the order of the words' numbers."""
     for batch in batches:
-        for row in batch.to_pylist():
-            at, ids = (np.array([k[c] for k in row["known"]], np.int64) for c in ("i", "id"))
+        lists = batch.column(batch.schema.get_field_index("known"))
+        for n, row in enumerate(batch.drop_columns(["known"]).to_pylist()):
+            at, ids = (lists[n].values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "id"))
             order = np.argsort(ids)
             rank = np.full(row["n_words"], -1, np.int64)
             rank[at[order]] = np.arange(len(order))
-            per, word, bits = (np.frombuffer(row[c], t) for c, t in (("per_block", np.uint8), ("word", np.uint32), ("bits", np.uint16)))
+            per, word, bits = (np.frombuffer(row[c], t) for c, t in (("per_block", np.uint8), ("word", np.uint32), ("bits", np.uint8)))
             block, word = np.repeat(np.arange(len(per)), per), rank[word]
             keep = word >= 0
             columns = [pa.array([row["shard"]]), *(pa.array([x], pa.binary()) for x in (ids[order].astype(np.int32).tobytes(), np.bincount(block[keep], minlength=len(per)).astype(np.uint8).tobytes(), word[keep].astype(np.uint32).tobytes(), bits[keep].tobytes()))]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "per_block", "word", "bits"])
 
 
-def shard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            pair, n = Shard.of(row).pairs()
-            for k in range(0, len(pair), 100_000):
-                part = pair[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["shard"])), pa.array(part), pa.array(n[k : k + 100_000])], ["shard", "pair", "n"])
+def shard_pairs(passes: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """shard, pair, n of all pairs, or of those that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pair, n = Shard.of(row).pairs(None if passes is None else passes.value)
+                for k in range(0, len(pair), 100_000):
+                    part = pair[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["shard"])), pa.array(part), pa.array(n[k : k + 100_000])], ["shard", "pair", "n"])
+
+    return run
+
+
+def shard_words(passes: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """shard, lang, i, word of the words that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = words.values
+                keep = np.flatnonzero(passes.value[[zlib.crc32(w.encode()) % FILTER for w in words.to_pylist()]])
+                for k in range(0, len(keep), 50_000):
+                    part = keep[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard)), pa.array([lang] * len(part)), pa.array(part.astype(np.int32)), words.take(pa.array(part))], ["shard", "lang", "i", "word"])
+
+    return run
+
+
+def filter_of(frequent: DataFrame, value: Column) -> Broadcast:
+    """Which remainders the frequent rows' values have: FILTER flags, however many rows there are."""
+    rest = [r[0] for r in frequent.select((value % FILTER).cast("int")).distinct().collect()]
+    flags = np.zeros(FILTER, bool)
+    flags[rest] = True
+    return frequent.sparkSession.sparkContext.broadcast(flags)
 
 
 def shard_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            for head, tail, n in Shard.of(row).longer(np.sort(np.array(row["pairs"], np.int64))):
+        lists = batch.column(batch.schema.get_field_index("pairs"))
+        for k, row in enumerate(batch.drop_columns(["pairs"]).to_pylist()):
+            for head, tail, n in Shard.of(row).longer(np.sort(lists[k].values.to_numpy(zero_copy_only=False))):
                 yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), pa.array(n)], ["head", "tail", "n"])
 
 
@@ -262,17 +303,19 @@ def counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame
     map_arrow(rows, layouts, SHARDS_SQL).write.option("compression", "zstd").parquet(folder)
     shards = spark.read.schema(SHARDS_SQL).parquet(folder)
     per_lang = cut(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")))
-    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("shard", "lang", "i", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     frequent = cut(with_ids(cut(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))))
-    known = words.drop("n").join(small(frequent.select("lang", "word", "id"), weight=F.length("word")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("known"))
+    here = map_arrow(shards.select("shard", "lang", "words"), shard_words(filter_of(frequent, F.crc32(F.col("word").cast("binary")))), "shard bigint, lang string, i int, word string")
+    known = here.join(small(frequent.select("lang", "word", "id"), weight=F.length("word")), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("known"))
     packed = shards.select("shard", F.size("words").alias("n_words"), "per_block", "word", "bits").join(known, "shard")
     schema = "shard bigint, ids binary, per_block binary, word binary, bits binary"
     map_arrow(packed.select("shard", "n_words", "per_block", "word", "bits", "known"), numbered, schema).write.option("compression", "zstd").parquet(packed_folder)
     remove_folder(spark, folder)
     packed = spark.read.schema(schema).parquet(packed_folder)
-    pairs = map_arrow(packed, shard_pairs, "shard bigint, pair bigint, n bigint")
+    pairs = map_arrow(packed, shard_pairs(), "shard bigint, pair bigint, n bigint")
     frequent_pairs = cut(pairs.groupBy("pair").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    here = pairs.select("shard", "pair").join(small(frequent_pairs.select("pair")), "pair").groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
+    again = map_arrow(packed, shard_pairs(filter_of(frequent_pairs, F.col("pair"))), "shard bigint, pair bigint, n bigint")
+    here = again.select("shard", "pair").join(small(frequent_pairs.select("pair")), "pair").groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
     longer = map_arrow(packed.join(here, "shard"), shard_phrases, "head bigint, tail bigint, n bigint")
     longer = longer.groupBy("head", "tail").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     phrases = cut(frequent_pairs.select(ids_of(F.col("pair"), F.lit(0).cast("bigint")).alias("ids"), "f").unionByName(longer.select(ids_of(F.col("head"), F.col("tail")).alias("ids"), "f")))
