@@ -485,41 +485,6 @@ def stated_names(spark: SparkSession, d: str) -> DataFrame:
     return near.join(pages, ["mission_id", "url"]).select(F.explode(stated("near", "content")).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS mission_id, CASE WHEN s_suppkey % 3 = 2 THEN 'not_resolved' ELSE 'complete' END AS status, CASE WHEN s_suppkey % 3 = 2 THEN 'no_candidate_discovered' ELSE 'candidate_selected' END AS final_state,
-CASE WHEN s_suppkey % 3 = 2 THEN 'QUERY_BUDGET_EXHAUSTED' ELSE 'PROVEN_EQUIVALENT' END AS stop_reason, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 END AS wave, CASE WHEN s_suppkey % 3 < 2 THEN 'AM-' || (1000 + s_suppkey) END AS reference FROM supplier""")
-def lead_loop(spark: SparkSession, d: str) -> DataFrame:
-    """A mission for each supplier through all waves, with tables for providers: a third finds the maker's page at once, a third
-    by a lead that a hit names, a shop that proves nothing and a new discovery, a third nothing."""
-    from evidentia.operators.identity import Brands
-    from evidentia.plans.adaptive import Providers, research
-
-    s = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("mission_id"), (F.col("s_suppkey") % 3).alias("kind"), F.format_string("AM-%d", F.col("s_suppkey") + 1000).alias("code"))
-    facts = [("volt", "Supply voltage", "12 V DC"), ("curr", "Rated current", "5 A"), ("stages", "Number of stages", "3 stages")]
-    missions = s.select("mission_id", F.lit("Three stage pump").alias("product"), F.lit("").alias("origin_brand"), F.when(F.col("kind") == 1, "Amaro").otherwise("").alias("target_brand"), F.lit(75).alias("threshold"), F.lit(False).alias("strict"))
-    listed = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(i).alias("requirement_id"), F.lit(label).alias("label"), F.lit(v).alias("requested_value"), F.lit(True).alias("critical")) for n, (i, label, v) in enumerate(facts)])
-    requirements = s.select("mission_id", F.explode(listed).alias("r")).select("mission_id", "r.*")
-    maker, shop, empty = (F.concat(F.lit(f"https://{h}/items/"), "code") for h in ("amaro.example", "parts-store.example", "empty.example"))
-    hit = lambda needle, url, title: F.struct(F.lit(needle).alias("needle"), url.alias("url"), title.alias("title"))
-    own = F.concat(F.lit("Amaro "), "code", F.lit(" pump relay"))
-    first = F.array(hit("fiche produit", F.when(F.col("kind") == 0, maker).otherwise(empty), F.when(F.col("kind") == 2, "Three stage pump").otherwise(own)))
-    later = F.array(hit("am-1", shop, own), hit("variante1", maker, F.lit("Three stage pump 12 V DC 5 A supply voltage")))
-    found = s.select("mission_id", F.explode(F.when(F.col("kind") == 1, F.concat(first, later)).otherwise(first)).alias("h")).select("mission_id", "h.*")
-    says = F.concat(F.lit("Amaro "), "code", F.lit(" three stage pump.\nSupply voltage 12 V DC. Rated current 5 A. 3 stages."))
-    texts = s.select(maker.alias("url"), says.alias("content")).unionByName(s.select(shop.alias("url"), F.concat(F.lit("Amaro "), "code", F.lit(" three stage pump.\nAsk us for a price.")).alias("content")))
-    proof = lambda excerpt: F.array(F.struct(maker.alias("url"), F.lit(excerpt).alias("excerpt"), F.lit("official").alias("type")))
-    criteria = F.array(*[F.struct(F.lit(i).alias("requirement_id"), F.lit(v).alias("requested_value"), F.lit(v).alias("observed_value"), F.lit("proven").alias("status"), proof(v if i == "stages" else f"{label} {v}").alias("proofs")) for i, label, v in facts])
-    answers = s.select(maker.alias("page_url"), F.to_json(F.struct(F.array(F.struct(F.lit("Amaro").alias("brand"), F.col("code").alias("reference"), criteria.alias("criteria"))).alias("candidates"))).alias("answer"))
-    providers = Providers(
-        lambda queries: queries.join(found, "mission_id").filter(F.contains(F.lower("query"), F.col("needle"))).select("mission_id", "query_ord", "query", F.lit(1).alias("rank"), "url", "title", F.lit("").alias("snippet")),
-        lambda urls: urls.join(texts, "url", "left").select("mission_id", "url", F.lit("").alias("title"), "content"),
-        lambda pages: pages.join(answers, "page_url", "left").select("mission_id", "audit_ord", "page_url", F.coalesce("answer", F.lit('{"candidates": []}')).alias("answer")),
-    )
-    out = research(missions, requirements, providers, Brands({frozenset(["amaro"]): frozenset(["amaro.example"])}))
-    opened = out.pages.filter("url LIKE '%amaro.example%'").groupBy("mission_id").agg(F.min("wave").alias("wave"))
-    lead = out.leads.filter("rank = 1").select("mission_id", "reference")
-    return out.results.join(opened, "mission_id", "left").join(lead, "mission_id", "left")
-
-
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS mission_id, CAST(i AS INTEGER) AS candidate, r AS requirement_id, CASE WHEN p_partkey % 4 <> 3 AND p_partkey % 3 >= i AND r = 'size' THEN CASE WHEN (p_size + i) % 2 = 0 THEN 'proven' ELSE 'incompatible' END ELSE 'not_proven' END AS status, CASE WHEN p_partkey % 4 <> 3 AND p_partkey % 3 >= i AND r = 'size' THEN CAST(p_size + i AS VARCHAR) || ' mm' ELSE '' END AS observed_value
 FROM part, (SELECT unnest([0, 1]) AS i), (SELECT unnest(['size', 'kind']) AS r)""")
 def declared_grid(spark: SparkSession, d: str) -> DataFrame:
