@@ -5,14 +5,15 @@ a k-mer in a text is labelled n, so repeats count. Each of SKETCHES hash functio
 hashes them in text order; two texts share such a value with a probability that follows their edit similarity. Texts
 so short that FEW_EDITS words at most may differ also have keys of what is left without them, so all similar pairs of short
 texts are candidates. Documents of equal text are one node. Nodes that share a
-sketch value are candidates. Each node of a bucket is first compared with a leader, the node that shares most values with
-others; so a group of near copies, all like their leader, costs one comparison a node. Then all pairs that aren't one
-component yet are compared in buckets of up to SMALL nodes. Larger buckets, say of texts that merely share a passage, are
-refined: their nodes are sketched again with the next of LEVELS minima a value, which parts unlike texts and keeps similar
-ones together, and each part is treated in the same way. What agrees in the last level's minima is compared with more and
-more leaders until each pair was compared or is in one component. Two similar texts also share values of rare words, whose
-buckets are small; so a hot passage hides a link only where all their shared values lie in hot passages and no refined
-bucket has both. A bound of the edits by how many words fall in each of BINS tells most unlike pairs apart without their
+sketch value are candidates. Each node is first compared with a leader, the node of its buckets that shares most values with
+others, then with the leaders of its other buckets; so a group of near copies, all like their leader, costs one comparison a
+node. Then all pairs that aren't one component yet are compared in buckets of up to SMALL nodes. Nodes of larger buckets, say
+of texts that merely share a passage, are joined exactly (rare_pairs()): of the longer of two similar texts, of which d words
+may be edited, one of any d + 1 disjoint runs of words stands in the shorter one as well. So a text looks others up by its
+d + 1 rarest runs, and no pair of such nodes is lost. How rare a run is is told by SLOTS counters, which only steer the choice.
+Kinds without such runs (chroma.py) are sketched again with more minima, and then compared with more and more leaders of each
+large bucket until each of its pairs was compared or is in one component.
+A bound of the edits by how many words fall in each of BINS tells most unlike pairs apart without their
 texts. A pair is a link if a banded alignment of the two word sequences has a similarity 1 - edits / longer length of
 SIMILARITY or more. Classes are the connected components of links.
 
@@ -36,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.runtime import cut, cut_few, free_name, map_arrow, small
+from evidentia.llm.runtime import broadcast_value, cut, cut_few, free_name, map_arrow, small
 from evidentia.llm.words import A, B, blocks, column_bytes, hash_words, mix
 
-K, SKETCHES, LEVELS, SIMILARITY, SMALL = 3, 48, (2, 3, 6), 0.8, 10
+K, SKETCHES, LEVELS, SIMILARITY, SMALL = 3, 48, (2,), 0.8, 10
 LEAST = LEVELS[0]  # minima of a value
 FEW_EDITS = 2  # texts that may differ by so many edits at most have deletion keys
 FEW_STEPS = 10  # edits up to which furthest-reaching points are tried before bit vectors
 NO_ID = (1 << 63) - 1
 BINS = 256  # of a sign
+RUNS = (1, 2, 3, 4)  # words of a run
+SLOTS = 1 << 21  # counters of runs
 
 
 def kmers(hashes: np.ndarray, first: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +100,8 @@ def sketch(labelled: np.ndarray, begin: np.ndarray, sketches: int = SKETCHES, le
     return out
 
 
-def deletion_keys(hashes: np.ndarray, first: np.ndarray, least: float = SIMILARITY, placed: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Text and key, in order and distinct, of what is left of a short text without any of its words, as many as may differ;
-    `placed`: keys also tell which places of how many are left out, so texts with equal keys differ there only.
+def deletion_keys(hashes: np.ndarray, first: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Text and key, in order and distinct, of what is left of a short text without any of its words, as many as may differ.
 
     Two short texts are similar only if they share a key: a substitution takes a word from both, an insertion from one."""
     n_words = np.diff(first)
@@ -110,17 +112,13 @@ def deletion_keys(hashes: np.ndarray, first: np.ndarray, least: float = SIMILARI
         rows = np.flatnonzero(n_words == n)
         w = hashes[first[rows][:, None] + np.arange(n)]
         for gone in (g for d in range(most + 1) for g in combinations(range(n), d)):
-            h = np.full(len(rows), B ^ np.uint64(hash((int(n), gone)) & 0x7FFFFFFFFFFFFFFF if placed else 0))
+            h = np.full(len(rows), B)
             with np.errstate(over="ignore"):
                 for j in np.delete(np.arange(n), gone):
                     h = mix(h * A + w[:, j])
             texts.append(rows)
             keys.append(h)
-    text, key = np.concatenate(texts), np.concatenate(keys)
-    order = np.lexsort((key, text))
-    text, key = text[order], key[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(text) else np.zeros(0, bool)
-    return text[new], key[new]
+    return distinct_keys(np.concatenate(texts), np.concatenate(keys))
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -249,30 +247,16 @@ def nodes_of(docs: DataFrame, sketches: int = SKETCHES, least: float = SIMILARIT
     return cut(rows.join(first_ids, "node").select("id", "node", F.when(F.col("id") == F.col("first_id"), F.col("sketch")).alias("sketch")))
 
 
-def values_of(hashes: np.ndarray, first: np.ndarray, sketches: int, minima: int, least: float, placed: bool = False) -> pa.ListArray:
+def values_of(hashes: np.ndarray, first: np.ndarray, sketches: int, minima: int, least: float) -> pa.ListArray:
     """For each text its sketch values, and behind them a short text's deletion keys; nothing for a text without a word."""
     values = sketch(*kmers(hashes, first), sketches, minima)
-    text, keys = deletion_keys(hashes, first, least, placed)
+    text, keys = deletion_keys(hashes, first, least)
     text = np.concatenate([np.repeat(np.flatnonzero(np.diff(first)), sketches), text])
     values = np.concatenate([values.ravel(), keys])[np.argsort(text, kind="stable")].view(np.int64)
     ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(first) - 1))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def deeper_texts(sketches: int, least: float) -> Callable[[DataFrame, int], DataFrame]:
-    """node, sketch of texts (node, payload) with more minima a value."""
-
-    def deeper(payloads: DataFrame, minima: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, hashes, first in blocks(batch, 1):
-                    yield pa.RecordBatch.from_arrays([part.column(0), values_of(hashes, first, sketches, minima, least, placed=True)], ["node", "sketch"])
-
-        return map_arrow(payloads.select("node", "payload"), run, "node bigint, sketch array<bigint>")
-
-    return deeper
-
-
 def text_node(docs: DataFrame) -> Column:
     """The text's 64-bit hash."""
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -341,15 +325,17 @@ Alike = Callable[[pa.Array, pa.Array], list[bool]]
 
 @dataclass(frozen=True)
 class Kind:
-    """How nodes are compared: `payloads` of some nodes, `alike` of two, `deeper` sketches of payloads by minima a value.
-    `may`, if given, makes short signs of payloads and tells from two signs whether they can be alike."""
+    """How nodes are compared: `payloads` of some nodes, `alike` of two. `may`, if given, makes short signs of payloads and tells
+    from two signs whether they can be alike. `rest` makes all pairs (a, b, root_a, root_b, n) of different roots that can be
+    alike from rows (node, root, payload), n telling likely ones; else `deeper` makes sketches of payloads by minima a value."""
 
     sketches: int
     levels: tuple[int, ...]
     payloads: Callable[[DataFrame], DataFrame]
     alike: Alike
-    deeper: Callable[[DataFrame, int], DataFrame]
+    deeper: Callable[[DataFrame, int], DataFrame] | None = None
     may: tuple[Callable[[DataFrame], DataFrame], Callable[[pa.Array, pa.Array], np.ndarray]] | None = None
+    rest: Callable[[DataFrame], DataFrame] | None = None
 
 
 class Links:
@@ -387,12 +373,18 @@ def rerooted(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
 def led(rows: DataFrame, weights: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of each node with its bucket's leaders, one of each of `parts`, where roots differ; and the leaders."""
     part = F.pmod(F.xxhash64("node"), F.lit(parts))
-    leaders = rows.join(small(weights), "node").groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "root"), F.struct("weight", -F.col("node"))).alias("l"))
-    leaders = cut_few(leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.root").alias("leader_root")))
-    pairs = rows.join(small(leaders), "bucket").filter("root != leader_root")
+    leaders = rows.join(small(weights), "node").groupBy("bucket", part.alias("part")).agg(F.max_by(F.struct("node", "root", "weight"), F.struct("weight", -F.col("node"))).alias("l"))
+    leaders = cut_few(leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.root").alias("leader_root"), F.col("l.weight").alias("n")))
+    pairs = rows.drop("n").join(small(leaders), "bucket").filter("root != leader_root")
     first = F.col("node") < F.col("leader")
     either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return pairs.select(either("node", "leader").alias("a"), either("leader", "node").alias("b"), either("root", "leader_root").alias("root_a"), either("leader_root", "root").alias("root_b")), leaders
+    return pairs.select("node", either("node", "leader").alias("a"), either("leader", "node").alias("b"), either("root", "leader_root").alias("root_a"), either("leader_root", "root").alias("root_b"), "n"), leaders
+
+
+def first_of(pairs: DataFrame, *group: str) -> DataFrame:
+    """The pair of each group with the greatest n."""
+    ends = ("a", "b", "root_a", "root_b")
+    return pairs.groupBy(*group).agg(F.max_by(F.struct(*ends), F.struct("n", "a", "b")).alias("p")).select(*[f"p.{c}" for c in ends])
 
 
 def links(nodes: DataFrame, kind: Kind) -> DataFrame:
@@ -407,6 +399,9 @@ def links(nodes: DataFrame, kind: Kind) -> DataFrame:
     # the node in the middle of a group shares most values with others
     weights = cut_few(left.groupBy("node").agg(F.sum("n").alias("weight")))
     state = Links(kind, payloads)
+    if (joined := state.tell(first_of(led(left, weights, 1)[0], "node"))) is not None:
+        left = shared(rerooted(left, joined))
+    large = None
     for level, minima in enumerate(kind.levels):
         if level:
             again = kind.deeper(payloads.join(small(left.select("node").distinct()), "node", "left_semi"), minima)
@@ -414,23 +409,158 @@ def links(nodes: DataFrame, kind: Kind) -> DataFrame:
             left = shared(rows)
         if left.isEmpty():
             break
-        if (joined := state.tell(led(left, weights, 1)[0])) is not None:
+        if (joined := state.tell(led(left, weights, 1)[0].drop("node", "n"))) is not None:
             left = shared(rerooted(left, joined))
         few = left.filter(F.col("n") <= SMALL)
         side = lambda x: few.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
-        joined = state.tell(side("a").join(side("b"), "bucket").filter("a < b AND root_a != root_b").select("a", "b", "root_a", "root_b"))
+        told_few = state.tell(side("a").join(side("b"), "bucket").filter("a < b AND root_a != root_b").select("a", "b", "root_a", "root_b"))
         left = left.filter(F.col("n") > SMALL)
-        left = shared(rerooted(left, joined)) if joined is not None else cut_few(left)
-        if left.isEmpty():
-            break
+        left = shared(rerooted(left, told_few)) if told_few is not None else cut_few(left)
+        # refined buckets only find links early: the large buckets themselves are settled below
+        large = left if large is None else rerooted(rerooted(large, joined), told_few)
+    if large is not None and not (large := shared(large)).isEmpty():
+        settle(large, weights, payloads, state)
+    return payloads.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if state.found is None else state.found
+
+
+def settle(left: DataFrame, weights: DataFrame, payloads: DataFrame, state: Links) -> None:
+    """Tells all pairs of large buckets that aren't one component and can be alike."""
+    if state.kind.rest:
+        roots = cut_few(left.select("node", "root").distinct())
+        sets = cut_few(left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")))  # a value a sketch and a few keys
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("buckets").alias(f"of_{x}"))
+        pairs = state.kind.rest(payloads.join(small(roots), "node")).join(side("a"), "a").join(side("b"), "b")
+        pairs = cut(pairs.filter(F.arrays_overlap("of_a", "of_b")).drop("of_a", "of_b"))
+        # one comparison joins a text to a group; what is left after it is told pair by pair
+        joined = state.tell(first_of(pairs, "a", "root_b"))
+        state.tell(rerooted_pairs(pairs, joined).filter("root_a != root_b"))
+        return
     parts = SMALL
-    while not left.isEmpty():  # large buckets of one last value each
+    while not left.isEmpty():
         pairs, leaders = led(left, weights, parts)
-        joined = state.tell(pairs)
+        joined = state.tell(pairs.drop("node", "n"))
         # leaders are settled with all of their bucket
         left = left.join(small(leaders.select("bucket", F.col("leader").alias("node"))), ["bucket", "node"], "left_anti")
         left, parts = shared(rerooted(left, joined)), parts * SMALL
-    return payloads.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if state.found is None else state.found
+
+
+def rerooted_pairs(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
+    for end in ("root_a", "root_b"):
+        pairs = rerooted(pairs.withColumnRenamed(end, "root"), joined).withColumnRenamed("root", end)
+    return pairs
+
+
+def runs(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of RUNS its words, and of all its runs the text, the place in the text and the hash."""
+    n_words = np.diff(first)
+    h = np.zeros(len(hashes), np.uint64)
+    for q in RUNS:
+        with np.errstate(over="ignore"):
+            h = mix(h[: max(len(hashes) - q + 1, 0)] * A + hashes[q - 1 :] + np.uint64(q))
+        n = np.maximum(n_words - q + 1, 0)
+        text = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        yield q, text, place, h[first[:-1][text] + place]
+
+
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    return (keys % np.uint64(SLOTS)).astype(np.int64)
+
+
+def rarest_runs(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Text and key of d + 1 disjoint runs of each text of which d > 0 words may be edited, in the length that meets fewest texts;
+    runs that stand in no other place are left out."""
+    n_words = np.diff(first)
+    need = ((1 - least) * n_words + 1e-9).astype(np.int64) + 1
+    best, texts, keys = np.full(len(n_words), np.iinfo(np.int64).max), [], []
+    for q, text, place, key in runs(hashes, first):
+        apart = place % q == 0
+        text, key = text[apart], key[apart]
+        n = counts[slots_of(key)]
+        order = np.lexsort((n, text))
+        text, key, n = text[order], key[order], n[order]
+        have = np.bincount(text, minlength=len(n_words))
+        rank = np.arange(len(text)) - (np.cumsum(have) - have)[text]
+        chosen = (rank < need[text]) & (have[text] >= need[text]) & (need[text] > 1)
+        text, key, n = text[chosen], key[chosen], n[chosen]
+        cost = np.bincount(text, np.where(n > 1, n, 0), minlength=len(n_words)).astype(np.int64)
+        cost[have < need] = np.iinfo(np.int64).max
+        texts.append((q, text[n > 1]))
+        keys.append(key[n > 1])
+        better = cost < best
+        best = np.where(better, cost, best)
+        choice = np.where(better, q, choice) if q > RUNS[0] else np.full(len(n_words), q)
+    out = [(t[(m := choice[t] == q)], k[m]) for (q, t), k in zip(texts, keys, strict=True)]
+    return distinct_keys(np.concatenate([t for t, _ in out]), np.concatenate([k for _, k in out]))
+
+
+def distinct_keys(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(text) else np.zeros(0, bool)
+    return text[new], key[new]
+
+
+def rare_pairs(least: float) -> Callable[[DataFrame], DataFrame]:
+    """Pairs (a, b, root_a, root_b, n) of texts (node, root, payload) with different roots, all similar ones among them.
+
+    The longer text looks others up by its rarest_runs(), n of which they share."""
+    schema = "key bigint, node bigint, root bigint, words bigint"
+
+    def emit(part: pa.RecordBatch, first: np.ndarray, text: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(text)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(np.diff(first).astype(np.int64)[text])], ["key", "node", "root", "words"])
+
+    def pairs(texts: DataFrame) -> DataFrame:
+        spark = texts.sparkSession
+        texts = texts.select("node", "root", "payload")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(SLOTS, np.int64)
+            for batch in batches:
+                for _, hashes, first in blocks(batch, 2):
+                    for *_, key in runs(hashes, first):
+                        n += np.bincount(slots_of(key), minlength=SLOTS)
+            slot = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], ["slot", "n"])
+
+        counted = map_arrow(texts, count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+        counts = broadcast_value(spark, lambda: filled(counted.toArrow(), np.ones(SLOTS, np.int64)))
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, hashes, first in blocks(batch, 2):
+                    yield emit(part, first, *rarest_runs(hashes, first, counts.value, least))
+
+        seek = cut(map_arrow(texts, rare, schema))
+        slots = seek.select(F.pmod("key", F.lit(SLOTS)).alias("slot"))  # the same slot: SLOTS is a power of two
+        wanted = broadcast_value(spark, lambda: filled(slots.distinct().select("slot", F.lit(1).alias("n")).toArrow(), np.zeros(SLOTS, bool)))
+
+        def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, hashes, first in blocks(batch, 2):
+                    found = [(text[(m := wanted.value[slots_of(key)])], key[m]) for _, text, _, key in runs(hashes, first)]
+                    yield emit(part, first, *distinct_keys(np.concatenate([t for t, _ in found]), np.concatenate([k for _, k in found])))
+
+        held = cut(map_arrow(texts, stand, schema))
+        # a key within one component joins nothing: roots meet first
+        roots = seek.select("key", F.col("root").alias("root_x")).distinct().join(held.select("key", F.col("root").alias("root_y")).distinct(), "key").filter("root_x != root_y")
+        x = seek.select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
+        y = held.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("words").alias("words_y"))
+        most = F.floor((1 - least) * F.col("words_x") + 1e-9)
+        met = roots.join(x, ["key", "root_x"]).join(y, ["key", "root_y"]).filter((F.col("words_y") <= F.col("words_x")) & (F.col("words_x") - F.col("words_y") <= most))
+        first = F.col("x") < F.col("y")
+        either = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
+        ends = [either("x", "y").alias("a"), either("y", "x").alias("b"), either("root_x", "root_y").alias("root_a"), either("root_y", "root_x").alias("root_b")]
+        return met.select(*ends).groupBy("a", "b", "root_a", "root_b").agg(F.count("*").alias("n"))
+
+    return pairs
+
+
+def filled(rows: pa.Table, out: np.ndarray) -> np.ndarray:
+    """`out` with n of rows (slot, n) at their slots."""
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
 def exploded(nodes: DataFrame, kind: Kind) -> DataFrame:
@@ -460,7 +590,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def text_kind(docs: DataFrame, least: float, sketches: int) -> Kind:
-    return Kind(sketches, LEVELS, lambda nodes: texts_of(docs, nodes), alike_texts(least), deeper_texts(sketches, least), (signs_of, near_signs(least)))
+    return Kind(sketches, LEVELS, lambda nodes: texts_of(docs, nodes), alike_texts(least), may=(signs_of, near_signs(least)), rest=rare_pairs(least))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:

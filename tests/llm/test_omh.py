@@ -151,3 +151,40 @@ def test_one_of_each_keeps_each_text_of_a_repeated_or_missing_id(spark):
     rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[0]), (3, texts[4]), (3, texts[4])]
     got = omh.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted((str(i), t) for i, t in [rows[0], rows[2], rows[3], rows[4], rows[6]])
+
+
+def test_pairs_of_texts_that_share_a_hot_passage(spark):
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(3_000)}"
+    passage = [word() for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(80)]
+        other = list(own)
+        for at in rng.sample(range(80), 36):
+            other[at] = f"x{rng.randrange(10**9)}"
+        texts += [passage + own, passage + other]
+    texts += [passage + [word() for _ in range(80)] for _ in range(80)]
+    pairs = list(enumerate(" ".join(t) for t in texts))
+    got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(pairs, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [k - k % 2 if k < 120 else k for k in range(len(texts))]
+
+
+def test_rarest_runs_meet_every_similar_text():
+    rng = np.random.default_rng(6)
+    for n in (5, 9, 10, 14, 15, 40, 200):
+        most = int(0.2 * n + 1e-9)
+        for words in (4, 50, 5_000):
+            a = rng.integers(0, words, n).astype(np.uint64) * omh.A
+            b = list(a)
+            for _ in range(most):
+                at = int(rng.integers(0, len(b)))
+                b[at : at + 1] = [[], [omh.B + np.uint64(at)]][int(rng.integers(0, 2))]
+            b = np.array(b, np.uint64)
+            both, first = np.concatenate([a, b]), np.array([0, n, n + len(b)])
+            counts = np.ones(omh.SLOTS, np.int64)
+            for *_, key in omh.runs(both, first):
+                np.add.at(counts, omh.slots_of(key), 1)
+            text, key = omh.rarest_runs(both, first, counts, 0.8)
+            held = {h for _, t, _, k in omh.runs(both, first) for h in k[t == 1]}
+            assert held & set(key[text == 0])
