@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Callable
 from urllib.parse import unquote
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 # Characters that count as an apostrophe or a hyphen in quotations, and the soft hyphen, which counts as nothing.
@@ -17,9 +18,25 @@ QUOTATION = str.maketrans(dict.fromkeys(APOSTROPHES, "'") | dict.fromkeys(HYPHEN
 WORD = re.compile(r"[^\W_]+")
 
 
+#: The most bytes of an Arrow batch, about: a worker holds a batch and its results as Python values, which take many times that.
+BATCH_BYTES = 1 << 20
+
+
 def udf(kernel: Callable, returns: str) -> Callable:
     """A kernel of one row as a column function with Arrow transfer; results of null arguments are the kernel's business."""
-    return lambda *columns: F.udf(kernel, returns, useArrow=True)(*columns)
+
+    def column(*columns):
+        small_batches()
+        return F.udf(kernel, returns, useArrow=True)(*columns)
+
+    return column
+
+
+def small_batches() -> None:
+    """Bounds the session's Arrow batches by bytes, so that workers' memory doesn't grow with the rows of a partition."""
+    spark, name = SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def unaccented(text: str) -> str:
