@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions import kernels as k
-
 LEAST_WORDS, GRAM = 4, 3
 #: The most keys that are broadcast to drop a document's other keys before they are shuffled.
 BROADCAST_KEYS = 200_000
@@ -20,10 +18,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def grams(text: str | None) -> list[str]:
-    """All different runs of GRAM characters and fewer; as many as the text has places at most for each length."""
-    text = text or ""
-    return sorted({text[at : at + size] for size in range(1, GRAM + 1) for at in range(len(text) - size + 1)})
+def grams(text: Column, sizes: list[int]) -> Column:
+    """All different runs of characters of the given sizes."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]))
 
 
 def few(keys: DataFrame) -> DataFrame:
@@ -43,8 +40,8 @@ def occurrences(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     size = F.least(F.length("phrase"), F.lit(GRAM))
     short = own.filter(F.size("_w") < LEAST_WORDS).withColumn("_key", F.xxhash64(F.substring("phrase", ((F.length("phrase") - size) / 2).cast("int") + 1, size))).drop("_w")
     sides = [(long, by_words)]
-    if not short.isEmpty():
-        by_grams = texts.select("_text", F.explode(k.udf(grams, "array<string>")("text")).alias("g")).select("_text", F.xxhash64("g").alias("_key"))
+    if sizes := [r[0] for r in short.select(size).distinct().collect()]:  # GRAM different ones at most
+        by_grams = texts.select("_text", F.explode(grams(F.col("text"), sorted(sizes))).alias("g")).select("_text", F.xxhash64("g").alias("_key"))
         sides.append((short, by_grams))
     out = None
     for keyed, held in sides:
