@@ -8,9 +8,10 @@ texts are candidates. Documents of equal text are one node. Nodes that share a
 sketch value are candidates. Each node is first compared with a leader, the node of its buckets that shares most values with
 others, then with the leaders of its other buckets; so a group of near copies, all like their leader, costs one comparison a
 node. Then all pairs that aren't one component yet are compared in buckets of up to SMALL nodes. Nodes of larger buckets, say
-of texts that merely share a passage, are joined exactly (rare_pairs()): of the longer of two similar texts, of which d words
-may be edited, one of any d + 1 disjoint runs of words stands in the shorter one as well. So a text looks others up by its
-d + 1 rarest runs, and no pair of such nodes is lost. How rare a run is is told by SLOTS counters, which only steer the choice.
+of texts that merely share a passage, are joined exactly (rare_pairs()): of the longer of two similar texts, of n words of which
+d may be edited, n - q + 1 - q * d runs of q words at least stand in both, repeats numbered. So in one order of all runs, the rarest
+first, the first q * d + 1 of both have one in common, and no pair of such nodes is lost. A pair meets at its first common run,
+or a few times: rows carry the runs in front of theirs. How rare a run is is told by SLOTS counters, which only steer the choice.
 Kinds without such runs (chroma.py) are sketched again with more minima, and then compared with more and more leaders of each
 large bucket until each of its pairs was compared or is in one component.
 A bound of the edits by how many words fall in each of BINS tells most unlike pairs apart without their
@@ -47,6 +48,8 @@ FEW_STEPS = 10  # edits up to which furthest-reaching points are tried before bi
 NO_ID = (1 << 63) - 1
 BINS = 256  # of a sign
 RUNS = (1, 2, 3, 4)  # words of a run
+BEFORE, MANY = 10, 8  # runs in front of a run, kept for runs of at least so many texts, and of 4 times the mean
+GRAMS, CLASS = (1, 2, 3), 1.12  # words of a labelled run; a class of lengths begins at so many times the one before
 SLOTS = 1 << 21  # counters of runs
 
 
@@ -501,15 +504,87 @@ def distinct_keys(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
     return text[new], key[new]
 
 
+def edits_of(n_words: np.ndarray, least: float) -> np.ndarray:
+    """How many words of a text may be edited if it is the longer one of two similar texts."""
+    return ((1 - least) * n_words + 1e-9).astype(np.int64)
+
+
+def length_class(n_words: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n_words, 1)) / np.log(CLASS) + 1e-9).astype(np.int64)
+
+
+def rarest_grams(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, take: np.ndarray, q: int) -> tuple[np.ndarray, ...]:
+    """The `take` rarest labelled runs of q words of each text that stand in other texts as well, in one order for all texts:
+    text, run, its count, its rank, and the BEFORE runs in front of it in that order (0: none; left out for runs of few texts)."""
+    labelled, begin = kmers(hashes, first, q)
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    n = counts[slots_of(labelled)]
+    order = np.lexsort((labelled, n, text))
+    text, labelled, n = text[order], labelled[order], n[order]
+    rank = np.arange(len(text)) - begin[:-1][text]
+    keep = (rank < take[text]) & (n > 1)
+    text, labelled, n, rank = text[keep], labelled[keep], n[keep], rank[keep]
+    before, many = np.zeros((len(text), BEFORE), np.uint64), max(MANY, 4 * counts.mean())
+    for k in range(1, BEFORE + 1):
+        before[k:, k - 1] = np.where((text[k:] == text[:-k]) & (n[k:] >= many), labelled[:-k], 0)
+    return text, labelled, n, rank, before
+
+
+def sought_grams(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """Text, key, place and runs before it, by which a text finds all similar ones that aren't longer: of the run length that
+    meets fewest texts, the rarest labelled runs, with each class of lengths that such texts may have.
+
+    Of n words with d edits, at least n - q + 1 - q * d labelled runs of q words stay. So of two similar texts' runs in one order,
+    the first q * d + 1 of the longer one and as many of the shorter one as held_grams() takes have one in common. Where n of
+    a shorter text's words are fewer, less of its runs come in question: the first in common has a place up to this one's."""
+    n_words = np.diff(first)
+    edits = edits_of(n_words, least)
+    best, found = np.full(len(n_words), np.iinfo(np.int64).max), []
+    choice = np.zeros(len(n_words), np.int64)
+    for q in GRAMS:
+        text, key, n, _, before = rarest_grams(hashes, first, counts, q * edits + 1, q)
+        cost = np.bincount(text, n, minlength=len(n_words)).astype(np.int64)
+        better = (n_words - q + 1 >= q * edits + 1) & (edits > 0) & (cost < best)
+        best, choice = np.where(better, cost, best), np.where(better, q, choice)
+        found.append((q, text, key, before))
+    text, key, before = (np.concatenate(x) for x in zip(*((t[m], k[m], b[m]) for q, t, k, b in found for m in [choice[t] == q]), strict=True))
+    low, high = length_class(n_words - edits), length_class(n_words)
+    times = (high - low + 1)[text]
+    each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    text, key, before = (np.repeat(x, times, axis=0) for x in (text, key, before))
+    return text, classed(key, low[text] + each), (choice * edits - n_words)[text], before
+
+
+def held_grams(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """Text, key, place (rank less words) and runs before it, by which a text is found: for each run length the rarest labelled runs, with its class."""
+    n_words = np.diff(first)
+    longer = n_words + np.arange(int(np.ceil(1 / max(1 - least, 0.01))) + 2)[:, None]
+    out = []
+    for q in GRAMS:
+        # further edits of a still longer text are fewer than the words that it has more
+        take = (n_words - longer + q * edits_of(longer, least)).max(axis=0) + 1
+        text, key, _, rank, before = rarest_grams(hashes, first, counts, take, q)
+        out.append((text, key, rank, before))
+    text, key, rank, before = (np.concatenate(x) for x in zip(*out, strict=True))
+    return text, classed(key, length_class(n_words)[text]), rank - n_words[text], before
+
+
+def classed(key: np.ndarray, length: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(key + length.astype(np.uint64) * A)
+
+
 def rare_pairs(least: float) -> Callable[[DataFrame], DataFrame]:
     """Pairs (a, b, root_a, root_b, n) of texts (node, root, payload) with different roots, all similar ones among them.
 
-    The longer text looks others up by its rarest_runs(), n of which they share."""
-    schema = "key bigint, node bigint, root bigint, words bigint"
+    The longer text looks others up by its sought_grams(), which stand among the other's held_grams(); n rows tell so."""
+    schema = "key bigint, node bigint, root bigint, words bigint, place bigint, before array<bigint>"
 
-    def emit(part: pa.RecordBatch, first: np.ndarray, text: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        at = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(np.diff(first).astype(np.int64)[text])], ["key", "node", "root", "words"])
+    def emit(part: pa.RecordBatch, first: np.ndarray, text: np.ndarray, key: np.ndarray, place: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        at, there = pa.array(text), before > 0
+        ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+        before = pa.ListArray.from_arrays(pa.array(ends), pa.array(before[there].view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(np.diff(first).astype(np.int64)[text]), pa.array(place), before], ["key", "node", "root", "words", "place", "before"])
 
     def pairs(texts: DataFrame) -> DataFrame:
         spark = texts.sparkSession
@@ -519,36 +594,37 @@ def rare_pairs(least: float) -> Callable[[DataFrame], DataFrame]:
             n = np.zeros(SLOTS, np.int64)
             for batch in batches:
                 for _, hashes, first in blocks(batch, 2):
-                    for *_, key in runs(hashes, first):
-                        n += np.bincount(slots_of(key), minlength=SLOTS)
+                    for q in GRAMS:
+                        n += np.bincount(slots_of(kmers(hashes, first, q)[0]), minlength=SLOTS)
             slot = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], ["slot", "n"])
 
         counted = map_arrow(texts, count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
         counts = broadcast_value(spark, lambda: filled(counted.toArrow(), np.ones(SLOTS, np.int64)))
 
-        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, hashes, first in blocks(batch, 2):
-                    yield emit(part, first, *rarest_runs(hashes, first, counts.value, least))
+                    yield emit(part, first, *sought_grams(hashes, first, counts.value, least))
 
-        seek = cut(map_arrow(texts, rare, schema))
+        seek = cut(map_arrow(texts, sought, schema))
         slots = seek.select(F.pmod("key", F.lit(SLOTS)).alias("slot"))  # the same slot: SLOTS is a power of two
         wanted = broadcast_value(spark, lambda: filled(slots.distinct().select("slot", F.lit(1).alias("n")).toArrow(), np.zeros(SLOTS, bool)))
 
-        def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, hashes, first in blocks(batch, 2):
-                    found = [(text[(m := wanted.value[slots_of(key)])], key[m]) for _, text, _, key in runs(hashes, first)]
-                    yield emit(part, first, *distinct_keys(np.concatenate([t for t, _ in found]), np.concatenate([k for _, k in found])))
-
-        held = cut(map_arrow(texts, stand, schema))
-        # a key within one component joins nothing: roots meet first
-        roots = seek.select("key", F.col("root").alias("root_x")).distinct().join(held.select("key", F.col("root").alias("root_y")).distinct(), "key").filter("root_x != root_y")
-        x = seek.select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("words").alias("words_x"))
-        y = held.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("words").alias("words_y"))
+                    rows = held_grams(hashes, first, counts.value, least)
+                    some = wanted.value[slots_of(rows[1])]
+                    yield emit(part, first, *(x[some] for x in rows))
+
+        held = cut(map_arrow(texts, held_by, schema))
+        side = lambda rows, n: rows.select("key", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "words", "place", "before")))
         most = F.floor((1 - least) * F.col("words_x") + 1e-9)
-        met = roots.join(x, ["key", "root_x"]).join(y, ["key", "root_y"]).filter((F.col("words_y") <= F.col("words_x")) & (F.col("words_x") - F.col("words_y") <= most))
+        fits = (F.col("words_y") <= F.col("words_x")) & (F.col("words_x") - F.col("words_y") <= most) & (F.col("place_y") <= F.col("place_x"))
+        # two texts that have a run of those before in common met there
+        x, y = side(seek, "x"), side(held, "y")
+        met = x.join(y, (x["key"] == y["key"]) & (F.col("root_x") != F.col("root_y")) & fits & ~F.arrays_overlap("before_x", "before_y"))
         first = F.col("x") < F.col("y")
         either = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
         ends = [either("x", "y").alias("a"), either("y", "x").alias("b"), either("root_x", "root_y").alias("root_a"), either("root_y", "root_x").alias("root_b")]

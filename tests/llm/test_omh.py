@@ -188,3 +188,38 @@ def test_rarest_runs_meet_every_similar_text():
             text, key = omh.rarest_runs(both, first, counts, 0.8)
             held = {h for _, t, _, k in omh.runs(both, first) for h in k[t == 1]}
             assert held & set(key[text == 0])
+
+
+def test_labelled_runs_meet_every_similar_text_in_their_rarest_part():
+    rng = np.random.default_rng(16)
+    for n in (5, 9, 10, 14, 15, 40, 200):
+        most = int(0.2 * n + 1e-9)
+        for words in (4, 50, 5_000):
+            for _ in range(4):
+                a = rng.integers(0, words, n).astype(np.uint64) * omh.A
+                b = list(a)
+                for _ in range(most):
+                    at = int(rng.integers(0, len(b)))
+                    b[at : at + 1] = [[], [omh.B + np.uint64(at)]][int(rng.integers(0, 2))]
+                b = np.array(b, np.uint64)
+                both, first = np.concatenate([a, b]), np.array([0, n, n + len(b)])
+                counts = np.ones(omh.SLOTS, np.int64)
+                for q in omh.GRAMS:
+                    np.add.at(counts, omh.slots_of(omh.kmers(both, first, q)[0]), 1)
+                x, y = omh.sought_grams(both, first, counts, 0.8), omh.held_grams(both, first, counts, 0.8)
+                before = [{k: set(p[p > 0].tolist()) for k, p in zip(key[text == t].tolist(), p[text == t], strict=True)} for t, (text, key, _, p) in enumerate((x, y))]
+                place = [dict(zip(key[text == t].tolist(), at[text == t].tolist(), strict=True)) for t, (text, key, at, _) in enumerate((x, y))]
+                assert len(b) > n or any(not before[0][k] & before[1][k] and place[1][k] <= place[0][k] for k in before[0].keys() & before[1].keys())
+
+
+def test_texts_that_share_most_of_their_words_meet_once(spark):
+    rng = random.Random(31)
+    line = " ".join(f"l{k}" for k in range(62))
+    texts = [f"{line} " + " ".join(f"w{rng.randrange(60)}" for _ in range(38)) for _ in range(120)]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node bigint, root bigint, payload string")
+    pairs = {(r["a"], r["b"]): r["n"] for r in omh.rare_pairs(0.8)(rows).collect()}
+    hashes, first = hash_words(np.frombuffer(" ".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) + 1 for t in texts]))
+    similar = {(i, j) for j in range(120) for i in range(j) if omh.similar(hashes[first[i] : first[i + 1]], hashes[first[j] : first[j + 1]])}
+    assert similar <= pairs.keys()
+    # each end may look the other up
+    assert sum(pairs.values()) < 3 * len(pairs)
