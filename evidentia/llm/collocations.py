@@ -8,9 +8,10 @@ block, it becomes the bitmaps of all phrases that are one word longer; popcounts
 these over shards their numbers in the language. Phrases are extended depth first, a run of first words at a time.
 
 A phrase that occurs LEAST times has only words and inner phrases that do, too. So shards keep bitmaps of the words that are
-frequent in their language, extend them to pairs, and in a second pass extend only pairs that are frequent. A shard gets the
-frequent words and pairs that occur in it by joins on the shard; nothing grows with the corpus in a task or on the driver, and
-the bitmaps are built once, in a table of the shared folder. Words are numbered, so a pair is one integer.
+frequent in their language, extend them to pairs, and in a second pass extend only pairs that may be frequent: a Bloom filter
+of bounded size holds all frequent pairs. What it lets through besides can't make a phrase that occurs LEAST times, so its sum
+drops it. A shard gets the frequent words that occur in it by a join on the shard; nothing grows with the corpus in a task or on
+the driver, and the bitmaps are built once, in a table of the shared folder. Words are numbered, so a pair is one integer.
 
 Defined results: a null text is empty and a null lang `und`. A language without a candidate gives no row. Repeated rows count
 as often as they stand. doc_id and further columns are not read. A text of any length is read whole: it is laid out in several
@@ -31,14 +32,17 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.runtime import cut, map_arrow, new_folder, remove_folder, small
+from evidentia.llm.runtime import broadcast_value, cut, map_arrow, new_folder, remove_folder, small
+from evidentia.llm.words import A, mix
 
 LEAST, LONGEST, TOP, SCALE = 30, 4, 2000, 2_000_000
 #: A candidate inside a longer phrase that occurs INSIDE percent as often is dropped.
 INSIDE = 80
 SHARD, BLOCK = 1_000_000, 8
-#: Flags of a filter of frequent words or pairs that tasks have; only what passes it is joined with them.
+#: Flags of a filter of frequent words that tasks have; only what passes it is joined with them.
 FILTER = 1_048_573
+#: Bits of the Bloom filter of frequent pairs for each pair, at least and at most in all, and how many of them a pair sets.
+PAIR_BITS, FEWEST_BITS, MOST_BITS, HASHES = 16, 1 << 16, 1 << 28, 4
 #: Bytes of a text that are split into words at once, and pairs of blocks that are ANDed at once.
 SLICE, AT_ONCE = 4 << 20, 1_000_000
 END = b"."
@@ -89,6 +93,49 @@ class Layout:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SHARDS, strict=True)], schema=SHARDS)
 
 
+class PairFilter:
+    """Which pairs may be frequent: a Bloom filter in words of 64 bits, a power of two of them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def bits_for(pairs: int) -> int:
+        return min(max(1 << (PAIR_BITS * pairs).bit_length(), FEWEST_BITS), MOST_BITS)
+
+    @staticmethod
+    def places(pair: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        h = mix(pair.astype(np.uint64))
+        step = mix(h ^ A) | np.uint64(1)
+        for k in range(HASHES):
+            with np.errstate(over="ignore"):
+                yield ((h + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+    def passes(self, pair: np.ndarray) -> np.ndarray:
+        out = np.ones(len(pair), bool)
+        for at in self.places(pair, 64 * len(self.words)):
+            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return out
+
+
+def filter_of_pairs(frequent: DataFrame) -> Broadcast:
+    """The PairFilter of all rows' pairs (materialised); tasks make its bits, the driver puts at most MOST_BITS of them together."""
+    bits = PairFilter.bits_for(frequent.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in PairFilter.places(batch.column(0).to_numpy(), bits):
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "bit"])
+
+    def made() -> PairFilter:
+        rows = map_arrow(frequent.select("pair"), run, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
+        words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        return PairFilter(words)
+
+    return broadcast_value(frequent.sparkSession, made)
+
+
 def blocks(place: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Block, word, bits of all bitmaps, ordered by block and word."""
     key = np.sort((place // BLOCK << 35) | (number << 3) | place % BLOCK)
@@ -167,15 +214,12 @@ class Shard:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def pairs(self, passes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of words, or those that pass a filter, each as one integer, and their numbers."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of words, each as one integer, and their numbers."""
         found = []
         for run in self.runs():
             entry, other, bits = self.extended(self.block[run], self.bits[run])
             first, second = self.word[run[entry]], self.word[other]
-            if passes is not None:
-                keep = passes[self.pair(first, second) % FILTER]
-                first, second, bits = first[keep], second[keep], bits[keep]
             if not len(first):
                 continue
             # both words' places in the shard and the popcount in one integer, which sorts faster than an order of keys
@@ -187,11 +231,9 @@ class Shard:
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.ids[a] << 32) | self.ids[b]
 
-    def longer(self, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Phrases of three and more words whose pairs all are `frequent` (sorted): first pair, what follows, number."""
-        if not len(frequent):
-            return
-        known = lambda x: frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+    def longer(self, frequent: np.ndarray | PairFilter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Phrases of three and more words whose pairs all are `frequent` (or in a filter): first pair, what follows, number."""
+        known = frequent.passes if isinstance(frequent, PairFilter) else lambda x: np.isin(x, frequent)
         for run in self.runs():
             entry, other, bits = self.extended(self.block[run], self.bits[run])
             head = self.pair(self.word[run[entry]], self.word[other])
@@ -231,18 +273,13 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["shard", "ids", "per_block", "word", "bits"])
 
 
-def shard_pairs(passes: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """shard, pair, n of all pairs, or of those that pass the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                pair, n = Shard.of(row).pairs(None if passes is None else passes.value)
-                for k in range(0, len(pair), 100_000):
-                    part = pair[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["shard"])), pa.array(part), pa.array(n[k : k + 100_000])], ["shard", "pair", "n"])
-
-    return run
+def shard_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair, n of each shard."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            pair, n = Shard.of(row).pairs()
+            for k in range(0, len(pair), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["pair", "n"])
 
 
 def shard_words(passes: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -268,12 +305,16 @@ def filter_of(frequent: DataFrame, value: Column) -> Broadcast:
     return frequent.sparkSession.sparkContext.broadcast(flags)
 
 
-def shard_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(batch.schema.get_field_index("pairs"))
-        for k, row in enumerate(batch.drop_columns(["pairs"]).to_pylist()):
-            for head, tail, n in Shard.of(row).longer(np.sort(lists[k].values.to_numpy(zero_copy_only=False))):
-                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), pa.array(n)], ["head", "tail", "n"])
+def shard_phrases(frequent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """head, tail, n of each shard's phrases of pairs that may be frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for head, tail, n in Shard.of(row).longer(frequent.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), pa.array(n)], ["head", "tail", "n"])
+
+    return run
 
 
 def with_ids(words: DataFrame) -> DataFrame:
@@ -312,11 +353,9 @@ def counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame
     map_arrow(packed.select("shard", "n_words", "per_block", "word", "bits", "known"), numbered, schema).write.option("compression", "zstd").parquet(packed_folder)
     remove_folder(spark, folder)
     packed = spark.read.schema(schema).parquet(packed_folder)
-    pairs = map_arrow(packed, shard_pairs(), "shard bigint, pair bigint, n bigint")
+    pairs = map_arrow(packed, shard_pairs, "pair bigint, n bigint")
     frequent_pairs = cut(pairs.groupBy("pair").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    again = map_arrow(packed, shard_pairs(filter_of(frequent_pairs, F.col("pair"))), "shard bigint, pair bigint, n bigint")
-    here = again.select("shard", "pair").join(small(frequent_pairs.select("pair")), "pair").groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
-    longer = map_arrow(packed.join(here, "shard"), shard_phrases, "head bigint, tail bigint, n bigint")
+    longer = map_arrow(packed, shard_phrases(filter_of_pairs(frequent_pairs)), "head bigint, tail bigint, n bigint")
     longer = longer.groupBy("head", "tail").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     phrases = cut(frequent_pairs.select(ids_of(F.col("pair"), F.lit(0).cast("bigint")).alias("ids"), "f").unionByName(longer.select(ids_of(F.col("head"), F.col("tail")).alias("ids"), "f")))
     remove_folder(spark, packed_folder)

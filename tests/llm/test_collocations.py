@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from evidentia.llm import collocations
@@ -102,3 +103,17 @@ def test_long_texts_are_cut_between_pieces():
     data = b"aaa bbb.cc ddd.eeeeeeeeeeeeeeeeeee.f"
     parts = list(collocations.slices(data, 10))
     assert b"".join(parts) == data and len(parts) > 2 and all(p.startswith(b".") for p in parts[1:])
+
+
+def test_the_filter_of_pairs_holds_each_and_needs_no_join(spark, monkeypatch):
+    pairs = [(k * 7_919 << 32) | k for k in range(1, 20_000)]
+    frequent = spark.createDataFrame([(p,) for p in pairs], "pair bigint")
+    held = collocations.filter_of_pairs(frequent).value
+    assert held.passes(np.array(pairs)).all()
+    assert held.passes(np.arange(100_000) << 20 | 5).mean() < 0.02
+    # with a filter that lets everything through the result is the same
+    rows = texts(3)
+    monkeypatch.setattr(collocations, "FEWEST_BITS", 64)
+    monkeypatch.setattr(collocations, "MOST_BITS", 64)
+    got = collocations.phrases(spark.createDataFrame(rows, SCHEMA).repartition(3), least=7, top=25)
+    assert sorted(map(tuple, got.collect())) == slow([r[1:3] for r in rows], 7, 25)
