@@ -13,7 +13,7 @@ a key are candidates; the chain's budgets prune them before all 64 bits are comp
 
 Equal fingerprints are one node, so copies cost nothing. In each bucket of level 1 all nodes meet one leader first, the node
 that shares most buckets; near copies of one text so become one component by one comparison a node and bucket. Buckets of up
-to SMALL nodes then try all pairs of different components. Larger ones are dealt to the keys of the next level and treated
+to SMALL nodes then try all pairs of different components, each pair in the first of the buckets that it shares. Larger ones are dealt to the keys of the next level and treated
 alike. A bucket of the last level agrees in 48 bits, so it holds 65,536 nodes at most, and its pairs of different components
 are all tried. No pair within DIFFER bits escapes: each level has a key for it. Keys are joined, never collected; a hot bucket
 is split by adaptive execution.
@@ -113,7 +113,11 @@ def chained(x: Column) -> Column:
 def keys(rows: DataFrame, level: int) -> DataFrame:
     """`rows` (node, turn and others) with a bucket for each mask of the level."""
     mask = F.explode(F.array(*(F.lit(signed(m)).cast("bigint") for m in masks(level)))).alias("mask")
-    return rows.select("*", mask).withColumn("bucket", F.xxhash64("turn", "mask", turned("node", "turn").bitwiseAND(F.col("mask")))).drop("mask")
+    return rows.select("*", mask).withColumn("bucket", bucket("turn", F.col("mask"), turned("node", "turn"))).drop("mask")
+
+
+def bucket(turn: str, mask: Column, x: Column) -> Column:
+    return F.xxhash64(turn, mask, x.bitwiseAND(mask))
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -122,15 +126,34 @@ def shared(rows: DataFrame) -> DataFrame:
     return cut_few(rows.join(small(cut_few(sizes)), "bucket"))
 
 
-def pairs(a: DataFrame, b: DataFrame, more: Column) -> DataFrame:
-    """Verified pairs of nodes of different roots: a, b, root_a, root_b. a, b: bucket, node_x, turn_x, root_x."""
+def met_first(x: Column, level: int) -> Column:
+    """Is this the first turn whose chains the differing bits allow, and the bucket that of the first mask that they leave equal?
+
+    Two nodes share many buckets of a level. A pair told in this one only loses no link: whichever level tells this bucket, both
+    nodes are in it with this turn."""
+    # as functions of arrays: written out, the condition would be too long to be compiled
+    shift = lambda f, n: F.call_function(f, F.col("node_a").bitwiseXOR(F.col("node_b")), n)
+    ring = lambda t: shift("shiftleft", F.lit(WIDTH) * t).bitwiseOR(shift("shiftrightunsigned", F.lit(BITS) - F.lit(WIDTH) * t))
+    earlier = F.exists(F.sequence(F.lit(0), F.col("turn_a")), lambda t: (t < F.col("turn_a")) & chained(ring(t)))
+    first = F.filter(F.array(*(F.lit(signed(m)).cast("bigint") for m in masks(level))), lambda m: x.bitwiseAND(m) == 0)[0]
+    return ~earlier & (F.col("bucket_a") == bucket("turn_a", first, turned("node_a", "turn_a")))
+
+
+def met(a: DataFrame, b: DataFrame, more: Column, level: int | None = None) -> DataFrame:
+    """Verified pairs of nodes of different roots. a, b: bucket_x, node_x, turn_x, root_x. With a level, each pair only in the
+    first of its buckets."""
     x = turned("node_a", "turn_a").bitwiseXOR(turned("node_b", "turn_b"))
-    found = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("turn_a") == F.col("turn_b")) & (F.col("root_a") != F.col("root_b")) & more & chained(x))
-    return found.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
+    once = F.lit(True) if level is None else met_first(x, level)
+    return a.join(b, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("turn_a") == F.col("turn_b")) & (F.col("root_a") != F.col("root_b")) & more & chained(x) & once)
+
+
+def pairs(a: DataFrame, b: DataFrame, more: Column, level: int | None = None) -> DataFrame:
+    """The roots a, b of the pairs that met()."""
+    return met(a, b, more, level).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
 
 
 def side(rows: DataFrame, s: str) -> DataFrame:
-    return rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "turn", "root")))
+    return rows.select(*(F.col(c).alias(f"{c}_{s}") for c in ("bucket", "node", "turn", "root")))
 
 
 def led(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -164,7 +187,7 @@ def linked(nodes: DataFrame) -> DataFrame:
         left = shared(merge(led(left, weights), left).drop("n"))
         last = level == LEVELS[-1]
         few = left if last else left.filter(F.col("n") <= SMALL)
-        left = merge(pairs(side(few, "a"), side(few, "b"), F.col("node_a") < F.col("node_b")), left.filter(F.col("n") > SMALL).drop("n"))
+        left = merge(pairs(side(few, "a"), side(few, "b"), F.col("node_a") < F.col("node_b"), level), left.filter(F.col("n") > SMALL).drop("n"))
         if last or left.isEmpty():
             break
         left = cut_few(left.select("node", "turn", "root").distinct())

@@ -105,3 +105,13 @@ def test_groups_of_many_fingerprints_take_every_level(spark, monkeypatch):
     want = slow_components(prints)
     of = [roots.get(simhash.signed(p), simhash.signed(p)) for p in prints]
     assert len(set(zip(of, want, strict=True))) == len(set(of)) == len(set(want))
+
+
+def test_a_pair_is_made_once_however_many_buckets_it_shares(spark):
+    x = random.Random(4).getrandbits(64)
+    prints = [x ^ (1 << b) for b in range(0, 64, 4)]
+    nodes = spark.createDataFrame([(simhash.signed(p), simhash.signed(p), t) for p in prints for t in range(16)], "node bigint, root bigint, turn int")
+    for level in simhash.LEVELS:
+        rows = simhash.shared(simhash.keys(nodes, level))
+        a, b = simhash.side(rows, "a"), simhash.side(rows, "b")
+        assert simhash.met(a, b, simhash.F.col("node_a") < simhash.F.col("node_b"), level).count() == 16 * 15 // 2
