@@ -184,8 +184,9 @@ def linked(nodes: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
         weights = weights or cut_few(left.groupBy("node").agg(F.sum("n").alias("weight")))
-        left = shared(merge(led(left, weights), left).drop("n"))
         last = level == LEVELS[-1]
+        # the leader's links leave n as it is: buckets that they make one component are looked for among the larger ones only
+        left = cut_few(merge(led(left, weights), left))
         few = left if last else left.filter(F.col("n") <= SMALL)
         left = merge(pairs(side(few, "a"), side(few, "b"), F.col("node_a") < F.col("node_b"), level), left.filter(F.col("n") > SMALL).drop("n"))
         if last or left.isEmpty():

@@ -115,3 +115,13 @@ def test_a_pair_is_made_once_however_many_buckets_it_shares(spark):
         rows = simhash.shared(simhash.keys(nodes, level))
         a, b = simhash.side(rows, "a"), simhash.side(rows, "b")
         assert simhash.met(a, b, simhash.F.col("node_a") < simhash.F.col("node_b"), level).count() == 16 * 15 // 2
+
+
+def test_small_buckets_are_looked_up_once(spark, monkeypatch):
+    rng, rows, shared = random.Random(6), [], simhash.shared
+    monkeypatch.setattr(simhash, "shared", lambda r: rows.append((out := shared(r)).count()) or out)
+    top = rng.getrandbits(32) << 32
+    prints = [top | rng.getrandbits(32) for _ in range(20)] + [top, top | 1]
+    roots = simhash.linked(spark.createDataFrame([(simhash.signed(p),) for p in prints], "node bigint")).collect()
+    assert {r["node"] for r in roots} >= {simhash.signed(top), simhash.signed(top | 1)}
+    assert rows[0] >= 22 and not any(rows[1:])
