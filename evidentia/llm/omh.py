@@ -11,7 +11,8 @@ node. Then all pairs that aren't one component yet are compared in buckets of up
 of texts that merely share a passage, are joined exactly (rare_pairs()): of the longer of two similar texts, of n words of which
 d may be edited, n - q + 1 - q * d runs of q words at least stand in both, repeats numbered. So in one order of all runs, the rarest
 first, the first q * d + 1 of both have one in common, and no pair of such nodes is lost. A pair meets at its first common run,
-or a few times: rows carry the runs in front of theirs. How rare a run is is told by SLOTS counters, which only steer the choice.
+or a few times: rows carry the runs in front of theirs. How rare a run is is told by SLOTS counters of those
+that stand more than once, which only steer the choice.
 Kinds without such runs (chroma.py) are sketched again with more minima, and then compared with more and more leaders of each
 large bucket until each of its pairs was compared or is in one component.
 A bound of the edits by how many words fall in each of BINS tells most unlike pairs apart without their
@@ -50,7 +51,8 @@ BINS = 256  # of a sign
 RUNS = (1, 2, 3, 4)  # words of a run
 BEFORE, MANY = 10, 8  # runs in front of a run, kept for runs of at least so many texts, and of 4 times the mean
 GRAMS, CLASS = (1, 2, 3), 1.12  # words of a labelled run; a class of lengths begins at so many times the one before
-SLOTS = 1 << 21  # counters of runs
+SLOTS, MOST = 1 << 24, (1 << 15) - 1  # counters of runs, of two bytes each, and how far they count
+FINE = 1 << 31  # places by which runs are told apart before those that stand more than once are counted in SLOTS
 
 
 def kmers(hashes: np.ndarray, first: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -350,15 +352,33 @@ class Links:
         self.found: DataFrame | None = None
         self.seen: DataFrame | None = None
 
-    def tell(self, pairs: DataFrame) -> DataFrame | None:
+    def near(self, pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+        """The pairs (a, b and others) that share a bucket (`buckets`: node, buckets) and whose signs, if any, are near."""
+        looks = buckets if self.signs is None else buckets.join(self.signs, "node")
+        looks = cut_few(looks)
+        side = lambda n: looks.select(*(F.col(c).alias(n if c == "node" else f"{c}_{n}") for c in looks.columns))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("buckets_a", "buckets_b")).drop("buckets_a", "buckets_b")
+        if self.signs is None:
+            return cut(met)
+        may, columns = self.kind.may[1], pairs.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(may(batch.column("sign_a"), batch.column("sign_b")), pa.bool_())).select(columns)
+
+        return cut(map_arrow(met, run, pairs.schema))
+
+    def tell(self, pairs: DataFrame, near: bool = False) -> DataFrame | None:
         """Compares pairs (a, b, and their roots root_a, root_b) that weren't compared yet. Returns node, root for the roots that
-        new links join, or nothing if there is no new link; links between nodes of known components make no larger graph."""
+        new links join, or nothing if there is no new link; links between nodes of known components make no larger graph.
+        Signs of pairs that are known to be `near` aren't compared again."""
         pairs = pairs.groupBy("a", "b").agg(F.min("root_a").alias("root_a"), F.min("root_b").alias("root_b"))
         pairs = cut_few(pairs if self.seen is None else pairs.join(small(self.seen), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return None
         bare = pairs.select("a", "b")
-        near = cut_few(cut(told(bare, self.signs.withColumnRenamed("sign", "payload"), self.kind.may[1]).filter("alike").select("a", "b"))) if self.kind.may else bare
+        near = cut_few(cut(told(bare, self.signs.withColumnRenamed("sign", "payload"), self.kind.may[1]).filter("alike").select("a", "b"))) if self.kind.may and not near else bare
         new = near if near.isEmpty() else cut_few(cut(told(near, self.payloads, self.kind.alike).filter("alike").select("a", "b")))
         self.found, self.seen = (new, bare) if self.seen is None else (cut_few(self.found.union(new)), cut_few(self.seen.union(bare)))
         if new.isEmpty():
@@ -430,13 +450,11 @@ def settle(left: DataFrame, weights: DataFrame, payloads: DataFrame, state: Link
     """Tells all pairs of large buckets that aren't one component and can be alike."""
     if state.kind.rest:
         roots = cut_few(left.select("node", "root").distinct())
-        sets = cut_few(left.groupBy("node").agg(F.collect_set("bucket").alias("buckets")))  # a value a sketch and a few keys
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("buckets").alias(f"of_{x}"))
-        pairs = state.kind.rest(payloads.join(small(roots), "node")).join(side("a"), "a").join(side("b"), "b")
-        pairs = cut(pairs.filter(F.arrays_overlap("of_a", "of_b")).drop("of_a", "of_b"))
+        sets = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # a value a sketch and a few keys
+        pairs = state.near(state.kind.rest(payloads.join(small(roots), "node")), sets)
         # one comparison joins a text to a group; what is left after it is told pair by pair
-        joined = state.tell(first_of(pairs, "a", "root_b"))
-        state.tell(rerooted_pairs(pairs, joined).filter("root_a != root_b"))
+        joined = state.tell(first_of(pairs, "a", "root_b"), near=True)
+        state.tell(rerooted_pairs(pairs, joined).filter("root_a != root_b"), near=True)
         return
     parts = SMALL
     while not left.isEmpty():
@@ -591,16 +609,14 @@ def rare_pairs(least: float) -> Callable[[DataFrame], DataFrame]:
         texts = texts.select("node", "root", "payload")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(SLOTS, np.int64)
             for batch in batches:
                 for _, hashes, first in blocks(batch, 2):
-                    for q in GRAMS:
-                        n += np.bincount(slots_of(kmers(hashes, first, q)[0]), minlength=SLOTS)
-            slot = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n[slot])], ["slot", "n"])
+                    slot, n = np.unique(np.concatenate([kmers(hashes, first, q)[0] % np.uint64(FINE) for q in GRAMS]).astype(np.int32), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int32))], ["slot", "n"])
 
-        counted = map_arrow(texts, count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
-        counts = broadcast_value(spark, lambda: filled(counted.toArrow(), np.ones(SLOTS, np.int64)))
+        counted = map_arrow(texts, count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = counted.groupBy((F.col("slot") % SLOTS).alias("slot")).agg(F.least(F.sum("n"), F.lit(MOST)).cast("smallint").alias("n"))
+        counts = broadcast_value(spark, lambda: filled(counted.toArrow(), np.ones(SLOTS, np.int16)))
 
         def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -608,8 +624,8 @@ def rare_pairs(least: float) -> Callable[[DataFrame], DataFrame]:
                     yield emit(part, first, *sought_grams(hashes, first, counts.value, least))
 
         seek = cut(map_arrow(texts, sought, schema))
-        slots = seek.select(F.pmod("key", F.lit(SLOTS)).alias("slot"))  # the same slot: SLOTS is a power of two
-        wanted = broadcast_value(spark, lambda: filled(slots.distinct().select("slot", F.lit(1).alias("n")).toArrow(), np.zeros(SLOTS, bool)))
+        slots = seek.select(F.pmod("key", F.lit(SLOTS)).cast("int").alias("slot"))  # the same slot: SLOTS is a power of two
+        wanted = broadcast_value(spark, lambda: filled(slots.distinct().select("slot", F.lit(True).alias("n")).toArrow(), np.zeros(SLOTS, bool)))
 
         def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -635,7 +651,8 @@ def rare_pairs(least: float) -> Callable[[DataFrame], DataFrame]:
 
 def filled(rows: pa.Table, out: np.ndarray) -> np.ndarray:
     """`out` with n of rows (slot, n) at their slots."""
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    for part in rows.to_batches():
+        out[part.column("slot").to_numpy()] = part.column("n").to_numpy(zero_copy_only=False)
     return out
 
 

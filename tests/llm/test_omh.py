@@ -223,3 +223,12 @@ def test_texts_that_share_most_of_their_words_meet_once(spark):
     assert similar <= pairs.keys()
     # each end may look the other up
     assert sum(pairs.values()) < 3 * len(pairs)
+
+
+def test_runs_of_one_text_only_make_no_rows_however_many_they_are(spark, monkeypatch):
+    line = " ".join(f"l{k}" for k in range(12))
+    texts = spark.range(0, 3_000, 1, 4).selectExpr("id AS node", "id AS root", f"concat('{line} ', array_join(transform(sequence(1, 388), k -> concat('w', id, 'x', k)), ' ')) AS payload")
+    made, cut = [], omh.cut
+    monkeypatch.setattr(omh, "cut", lambda rows: made.append((out := cut(rows)).count()) or out)
+    assert omh.rare_pairs(0.8)(texts).count() == 0
+    assert sum(made) < 3_000 * 40
